@@ -57,3 +57,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(at)
     sc._lectern_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over as many tasks as the session shuffles to: for steps in Python after a small shuffle, which would otherwise
+    follow the number of bytes and leave cores idle."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
