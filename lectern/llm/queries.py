@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leaks, near_copies, one_form, packing, quota_sample
+from lectern.llm import leaks, near_copies, one_form, packing, quota_sample, subjects
 from lectern.plans.session import table
 
 CATEGORIES = ["question_type", "depth_bin", "context_length"]
@@ -109,8 +109,28 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).select("doc_id", "item_id")
 
 
+# 8: subjects
+
+
+def p8_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects of each document with the sentences about them."""
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subject_areas"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects of each document."""
+    return p8_subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and sentences of each subject in the corpus."""
+    shares = subjects.subject_shares(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subject_areas"))
+    return shares.groupBy("subject").agg(F.count_if(F.col("sentences") >= subjects.SHARE * F.col("of")).alias("documents"), F.sum("sentences").alias("sentences"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_one_form, p2_found, p2_groups, p4_found, p4_report, p4_sample, p6_found, p6_packed, p7_found, p7_leaks)}
+    own = (p1_found, p1_one_form, p2_found, p2_groups, p4_found, p4_report, p4_sample, p6_found, p6_packed, p7_found, p7_leaks, p8_found, p8_subjects, p8_composition)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
