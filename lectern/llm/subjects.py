@@ -1,7 +1,7 @@
 """Subjects of documents by what their sentences are about.
 
 Sentences are embedded by weighted terms and a truncated singular value decomposition. A term's weight is its inverse
-sentence frequency over the whole corpus times how far the labels of the documents it occurs in stray from the labels at
+frequency by sentence over the whole corpus times how far the labels of the documents it occurs in stray from the labels at
 large, so that names and phrases of every kind of document weigh little. Centroids seeded in the sentences of each label
 are refined by cosine similarity (spherical k-means); a centroid stands for a subject when most of its sentences come from
 documents labelled with it, and for none otherwise, which is where figures of speech gather. A sentence takes the subject
@@ -70,9 +70,19 @@ def sentence_terms(text: str | None, ids: _Ids) -> list[int]:
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    ids = _Ids()
+    """Terms of each document, and one row without a document that holds the partition's term counts; in it term 0 counts
+    the sentences."""
+    ids, known, counts = _Ids(), np.empty(0, np.int32), np.empty(0, np.int64)
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "terms": [np.array(sentence_terms(t, ids), np.int32) for t in pdf["text"]]})
+        terms = [np.array(sentence_terms(t, ids), np.int32) for t in pdf["text"]]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "terms": terms, "counts": None})
+        flat = np.concatenate(terms) if terms else np.empty(0, np.int32)
+        here, sentence = _sentences(flat)
+        own, n = np.unique(flat[here], return_counts=True)
+        both, at = np.unique(np.concatenate((known, own, np.zeros(1, np.int32))), return_inverse=True)
+        counts = np.bincount(at, np.concatenate((counts, n, [int(sentence[-1]) + 1 if len(here) else 0]))).astype(np.int64)
+        known = both
+    yield pd.DataFrame({"doc_id": [None], "terms": [known], "counts": [counts]})
 
 
 def _sentences(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +117,7 @@ class SubjectModel:
     """Term vectors, centroids and their subjects."""
 
     def __init__(self, docs: list[np.ndarray], labels: list[frozenset], terms: np.ndarray, frequency: np.ndarray, sentences: int, subjects: list[str], seed: int = 0):
-        """``terms`` (sorted) with the number of sentences of the corpus that hold them, among ``sentences``."""
+        """``terms`` (sorted) with the number of times the corpus holds them, in ``sentences`` sentences."""
         rng = np.random.default_rng(seed)
         self.subjects, self.terms = subjects, terms
         cols, rows, of, n = [], [], [], 0
@@ -199,27 +209,6 @@ def _assign(model: SubjectModel):
     return run
 
 
-def _frequencies(terms: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total = np.zeros(len(terms), np.int64), 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            t = np.concatenate([np.asarray(x, np.int32) for x in pdf["terms"]])
-            here, sentence = _sentences(t)
-            if not len(here):
-                continue
-            total += int(sentence[-1]) + 1
-            at = np.searchsorted(terms, t[here]).clip(max=max(0, len(terms) - 1))
-            known = terms[at] == t[here] if len(terms) else np.zeros(len(here), bool)
-            pair = np.unique(sentence[known] * np.int64(len(terms) + 1) + at[known])
-            n += np.bincount(pair % (len(terms) + 1), minlength=len(terms))[: len(terms)]
-        some = np.flatnonzero(n)
-        yield pd.DataFrame({"term": np.append(terms[some], -1).astype(np.int64), "n": np.append(n[some], total)})
-
-    return run
-
-
 def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_docs: int = LABEL_DOCS, seed: int = 0) -> DataFrame:
     """(doc_id, subject, sentences, of): for each document and subject that any of its sentences is about, how many are, and
     of how many sentences. Documents without such a sentence (null and empty texts too) do not appear.
@@ -229,14 +218,16 @@ def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_c
     repeated id counts as one more document. Without labels nothing is about anything.
     """
     names = sorted(r["subject"] for r in subjects.where("subject is not null").select("subject").distinct().limit(1000).collect())
-    feats = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null").mapInPandas(_features, "doc_id bigint, terms array<int>"))
+    made = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null").mapInPandas(_features, "doc_id bigint, terms array<int>, counts array<bigint>"))
+    feats = made.where("doc_id is not null").select("doc_id", "terms")
     chosen = labels.where(F.col("doc_id").isNotNull() & (F.col("subject").isNull() | F.col("subject").isin(names))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(label_docs)
     sample = sorted(((r["doc_id"], np.array(r["terms"], np.int32), frozenset(r["subjects"])) for r in feats.join(F.broadcast(chosen), "doc_id").collect()), key=lambda r: r[0])
     terms = np.unique(np.concatenate([r[1] for r in sample] + [np.zeros(1, np.int32)]))
     terms = terms[terms > 0].astype(np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
-    got = {r["term"]: r["n"] for r in feats.mapInPandas(lambda it, b=sent: _frequencies(b.value)(it), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    model = SubjectModel([r[1] for r in sample], [r[2] for r in sample], terms, np.array([got.get(int(t), 0) for t in terms], float), int(got.get(-1, 0) or 0), names, seed)
+    wanted = docs.sparkSession.createDataFrame(pd.DataFrame({"term": np.append(terms, 0).astype(np.int32)}), "term int")
+    partial = made.where("doc_id is null").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+    got = {r["term"]: r["n"] for r in partial.join(F.broadcast(wanted), "term").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    model = SubjectModel([r[1] for r in sample], [r[2] for r in sample], terms, np.array([got.get(int(t), 0) for t in terms], float), int(got.get(0, 0)), names, seed)
     ready = docs.sparkSession.sparkContext.broadcast(model)
     return feats.mapInPandas(lambda it, b=ready: _assign(b.value)(it), "doc_id bigint, subject string, sentences bigint, of bigint")
 
