@@ -20,7 +20,7 @@ def hover(text: Column) -> Column:
 
 
 def token_count_label(n: Column) -> Column:
-    """1234 as 1.2K, 1234567 as 1.23M."""
+    """1234 as 1.2K, 1234567 as 1.23M; halves are rounded up."""
     return F.when(n >= 1_000_000, F.format_string("%.2fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
 
 

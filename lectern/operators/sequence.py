@@ -23,12 +23,22 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "idx") -> Dat
     return local.join(F.broadcast(before), "part_").withColumn(name, (F.col("before_") + F.col("local_") - 1).cast("bigint")).drop("part_", "before_", "local_", *keys)
 
 
-def trend_line(results: DataFrame, run: str, position: str = "start_pos", score: str = "score", tie: str = "idx", window: int = 20) -> DataFrame:
+def trend_line(results: DataFrame, run: str, position: str = "start_pos", score: str = "score", tie: str = "idx", window: int = 20, block: int = 50_000) -> DataFrame:
     """(run, tie, position, score, trend): the mean score of the rows at most window // 2 places before or after, by position,
-    within each run. A run of fewer rows than ``window`` keeps its scores unsmoothed. Ties in position follow ``tie``."""
-    per = W.partitionBy(run)
-    near = per.orderBy(position, tie).rowsBetween(-(window // 2), window // 2)
-    return results.select(run, tie, position, score, F.count("*").over(per).alias("n_"), F.avg(score).over(near).alias("m_")).select(run, tie, position, score, F.when(F.col("n_") < window, F.col(score)).otherwise(F.col("m_")).alias("trend"))
+    within each run. A run of fewer rows than ``window`` keeps its scores unsmoothed. Ties in position follow ``tie``.
+
+    Rows get their place in the run first; means are then taken in blocks of places, each with the rows of its neighbours
+    that reach into it, so that a run of any length is spread over many tasks."""
+    half = window // 2
+    placed = numbered(results.select(run, tie, position, score), [run, position, tie], "at_")
+    runs = placed.groupBy(run).agg(F.min("at_").alias("from_"), F.count("*").alias("n_"))
+    placed = placed.join(runs, placed[run].eqNullSafe(runs[run])).drop(runs[run]).withColumn("at_", F.col("at_") - F.col("from_"))
+    own = F.floor(F.col("at_") / block)
+    near = F.array_distinct(F.array(own, F.floor(F.greatest(F.col("at_") - half, F.lit(0)) / block), F.floor((F.col("at_") + half) / block)))
+    blocks = placed.withColumn("own_", own).withColumn("block_", F.explode(near))
+    w = W.partitionBy(run, "block_").orderBy("at_").rowsBetween(-half, half)
+    out = blocks.withColumn("m_", F.avg(score).over(w)).where("own_ = block_")
+    return out.select(run, tie, position, score, F.when(F.col("n_") < window, F.col(score)).otherwise(F.col("m_")).alias("trend"))
 
 
 def schedule_uniform(questions: DataFrame, lengths: list[int], idx: str = "idx") -> DataFrame:
