@@ -41,7 +41,7 @@ def _states(k: np.ndarray, s: np.ndarray, e: np.ndarray) -> pd.DataFrame:
     out = []
     for part in np.split(order, cuts) if len(order) else []:
         out.append((keys[codes[part[0]]], *coalesce_ranges(s[part], e[part])))
-    return pd.DataFrame(out, columns=["k", "starts", "ends"])
+    return pd.DataFrame({name: pd.Series([r[i] for r in out], dtype=object) for i, name in enumerate(("k", "starts", "ends"))})
 
 
 def _flat(states: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

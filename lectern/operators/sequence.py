@@ -34,7 +34,7 @@ def trend_line(results: DataFrame, run: str, position: str = "start_pos", score:
     runs = placed.groupBy(run).agg(F.min("at_").alias("from_"), F.count("*").alias("n_"))
     placed = placed.join(runs, placed[run].eqNullSafe(runs[run])).drop(runs[run]).withColumn("at_", F.col("at_") - F.col("from_"))
     own = F.floor(F.col("at_") / block)
-    near = F.array_distinct(F.array(own, F.floor(F.greatest(F.col("at_") - half, F.lit(0)) / block), F.floor((F.col("at_") + half) / block)))
+    near = F.sequence(F.floor(F.greatest(F.col("at_") - half, F.lit(0)) / block), F.floor((F.col("at_") + half) / block))
     blocks = placed.withColumn("own_", own).withColumn("block_", F.explode(near))
     w = W.partitionBy(run, "block_").orderBy("at_").rowsBetween(-half, half)
     out = blocks.withColumn("m_", F.avg(score).over(w)).where("own_ = block_")

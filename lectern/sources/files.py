@@ -89,20 +89,19 @@ def write_rows(rows: DataFrame, path: str, metadata: dict | None = None, order:
     new file is whole. Credentials in metadata are left out."""
     spark = rows.sparkSession
     fields = [c for c in rows.columns if c != order]
-    if order:
-        rows = rows.orderBy(order)
-    lines = rows.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
-    if metadata:
-        head = spark.createDataFrame([(json.dumps({"metadata": redacted(metadata)}, ensure_ascii=False),)], "value string").coalesce(1)
-        lines = head.unionByName(lines)
-    _single_file(lines, path)
+    lines = rows.select((F.col(order) if order else F.monotonically_increasing_id()).alias("n_"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+    _single_file(spark, metadata, lines, path)
 
 
-def _single_file(lines: DataFrame, path: str) -> None:
-    """One text file of ``lines``, written beside ``path`` and moved there when whole."""
-    spark = lines.sparkSession
+def _single_file(spark: SparkSession, metadata: dict | None, lines: DataFrame, path: str) -> None:
+    """One text file of ``lines`` (n_, value) by n_, after its header, written beside ``path`` and moved there when whole. One
+    task writes it, as a single file needs; larger sets belong in Parquet."""
+    lines = lines.withColumn("k_", F.lit(1))
+    if metadata:
+        head = spark.range(1).select(F.lit(None).cast(lines.schema["n_"].dataType).alias("n_"), F.lit(json.dumps({"metadata": redacted(metadata)}, ensure_ascii=False)).alias("value"), F.lit(0).alias("k_"))
+        lines = head.unionByName(lines)
     temp = f"{path}.writing"
-    lines.coalesce(1).write.mode("overwrite").text(temp)
+    lines.repartition(1).sortWithinPartitions("k_", "n_").select("value").write.mode("overwrite").text(temp)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     part = [s.getPath() for s in fs.listStatus(hadoop(temp)) if s.getPath().getName().startswith("part-")][0]
@@ -137,8 +136,7 @@ def update_summary(spark: SparkSession, path: str, summary: str, schema: T.Struc
     """The same file with ``novel_summary`` in its metadata; rows keep fields that the schema doesn't know."""
     meta, rows = read_rows(spark, path, schema)
     kept = cut(rows.withColumn("n_", F.monotonically_increasing_id()).select("n_", F.col("raw").alias("value")))
-    head = spark.createDataFrame([(json.dumps({"metadata": redacted({**meta, "novel_summary": summary})}, ensure_ascii=False),)], "value string").coalesce(1)
-    _single_file(head.unionByName(kept.orderBy("n_").select("value")), to or path)
+    _single_file(spark, {**meta, "novel_summary": summary}, kept, to or path)
 
 
 RESULT_ROWS = DEPTH_RESULT

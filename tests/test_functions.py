@@ -1,0 +1,158 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.functions import answers as A
+from lectern.functions import evidence, replies, rules, text, tokens
+
+ROW = "question_type string, correct array<string>, model array<string>, status string"
+
+
+def one(spark, schema, row, *cols):
+    return tuple(spark.createDataFrame([row], schema).select(*cols).first())
+
+
+@pytest.mark.parametrize(
+    "kind, correct, model, status, category, score, at_test",
+    [
+        ("single_choice", ["a"], ["a"], "success", "correct", 1.0, 1.0),
+        ("single_choice", ["a"], ["a", "a"], "success", "correct", 1.0, 0.0),
+        ("single_choice", ["a", "b"], ["b", "a"], "success", "correct", 1.0, 0.0),
+        ("single_choice", ["a"], [], "success", "parsing_error", 0.0, 0.0),
+        ("single_choice", ["a"], None, "error", "parsing_error", 0.0, 0.0),
+        ("single_choice", ["a"], ["a"], "parsing_error", "parsing_error", 0.0, 1.0),
+        ("multiple_choice", ["a", "b"], ["a", "c"], None, "partially_correct", 0.5, 0.5),
+        ("multiple_choice", ["a", "b"], ["c"], "success", "incorrect", 0.0, 0.0),
+        ("multiple_choice", ["a", "b"], ["b", "a"], "success", "correct", 1.0, 1.0),
+        ("negative_question", ["a"], ["a"], "success", "correct", 1.0, 0.0),
+        ("essay", ["a"], ["a"], "success", "correct", 0.0, 0.0),
+        (None, ["a"], ["b"], "success", "incorrect", 0.0, 0.0),
+    ],
+)
+def test_scores(spark, kind, correct, model, status, category, score, at_test):
+    k, c, m, s = map(F.col, ("question_type", "correct", "model", "status"))
+    assert one(spark, ROW, (kind, correct, model, status), A.category(k, c, m, s), A.report_score(k, c, m, s), A.test_score(k, c, m)) == (category, score, at_test)
+
+
+def test_comparison_rules(spark):
+    def same(kind, a, b):
+        k, c, m = map(F.col, ("question_type", "correct", "model"))
+        return one(spark, ROW, (kind, a, b, ""), A.matches(c, m, k))[0]
+
+    assert same("single_choice", [" A "], ["a"]) and not same("single_choice", ["a"], ["a", "a"]) and same("single_choice", ["b", "a"], ["a", "b"])
+    assert same("multiple_choice", ["a", "b", "b"], ["B", "a", None, ""]) and not same("essay", ["a", "a"], ["a"]) and same("essay", None, [])
+
+
+def test_depth_labels_and_confidence(spark):
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in (0.0, 0.125, 0.126, 0.375, 0.625, 0.875, 0.9, 1.0, None)], "d double").select(rules.depth_label(F.col("d"))).collect()]
+    assert got == ["0%", "0%", "25%", "25%", "50%", "75%", "100%", "100%", None]
+    assert one(spark, "c string", ("High",), rules.confidence_rank(F.col("c")), rules.meets_confidence(F.col("c"))) == (0, False)
+    assert one(spark, "c string", (None,), rules.confidence_rank(F.col("c")), rules.meets_confidence(F.lit("high"), "medium")) == (0, True)
+
+
+Q = "question string, question_type string, choice map<string,string>, answer array<string>, position struct<start_pos:bigint,end_pos:bigint>"
+
+
+@pytest.mark.parametrize(
+    "row, part",
+    [
+        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], (0, 0)), None),
+        ((" 　", "single_choice", {"a": "x", "b": "y"}, ["a"], (0, 1)), "question must"),
+        (("q", None, {"a": "x", "b": "y"}, ["a"], (0, 1)), "question_type must"),
+        (("q", "single_choice", {"a": "x"}, ["a"], (0, 1)), "at least 2"),
+        (("q", "single_choice", {"a": "x", "b": None}, ["a"], (0, 1)), "options must"),
+        (("q", "single_choice", {"a": "x", "b": "y"}, [], (0, 1)), "at least one"),
+        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], None), "position must be"),
+        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], (None, 1)), "position must contain"),
+        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], (-1, 1)), "non-negative"),
+        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], (2, 1)), ">="),
+        (("q", "essay", {"a": "x", "b": "y"}, ["a"], (0, 1)), "unknown"),
+        (("q", "multiple_choice", {"a": "x", "b": "y", "c": "z"}, ["a", "b"], (0, 1)), "distractors"),
+        (("q", "single_choice", {"a": "x", "b": "y"}, ["c"], (0, 1)), "not a choice"),
+    ],
+)
+def test_question_rules(spark, row, part):
+    got = one(spark, Q, row, rules.question_error(*map(F.col, ("question", "question_type", "choice", "answer", "position"))))[0]
+    assert got is None if part is None else part in got
+
+
+@pytest.mark.parametrize(
+    "reply, want",
+    [
+        (None, ([], "parsing_error")),
+        ("  ", ([], "parsing_error")),
+        ('{"answer": ["a"]}', (["a"], "success")),
+        (' {"answer": "b"} ', (["b"], "success")),
+        ('{"answer": ""}', ([], "success")),
+        ("{}", ([], "success")),
+        ("null", ([], "error")),
+        ("5", ([], "error")),
+        ('["a"]', ([], "error")),
+        ('so {"answer": ["a"]} or {"answer": ["d"]} done', (["d"], "regex_extracted")),
+        ('x {"answer": ["a"], "meta": {"x": 1}}', ([], "regex_extracted")),
+        ('x {"answer": ["}"]} y', (["}"], "regex_extracted")),
+        ('x {"answer": ["a\\"}"]}', (['a"}'], "regex_extracted")),
+        ('x {"answer": ["a"],}', ([], "parsing_error")),
+        ("no braces", ([], "parsing_error")),
+        ('{"answer": [1, null]} tail', (["1", None], "regex_extracted")),
+    ],
+)
+def test_answers_of_replies(reply, want):
+    assert replies.read_answer(reply) == want
+
+
+def test_objects_of_replies():
+    assert json.loads(replies.read_object('text ```json\n{"a": {"b": 1}}\n``` more')) == {"a": {"b": 1}}
+    assert json.loads(replies.read_object('before {"a": "}"} after {"b": 2}')) == {"a": "}"}
+    assert replies.read_object("[1]") is None and replies.read_object(None) is None and replies.read_object("{") is None
+    assert replies.answer_values("a, b,") == ["a", "b"] and replies.answer_values([" a", None]) == ["a"] and replies.answer_values(3) == ["3"]
+    assert replies.read_verdict('{"answer": "a", "is_answerable": "false", "confidence": "HIGH"}')[:4] == (["a"], "", True, "high")
+    assert replies.read_verdict('{"confidence": 3}')[5].startswith("Exception")
+
+
+def plain_best(e, c):
+    from difflib import SequenceMatcher
+
+    n = len(e)
+    return max((SequenceMatcher(None, e, c[i : i + w]).ratio() for w in range(max(10, int(n * 0.8)), int(n * 1.2) + 1) for i in range(len(c) - w + 1)), default=0.0)
+
+
+def test_evidence(spark):
+    ctx = "The mill stood empty. A grey cat slept on the sill of the long window, and nobody came."
+    for e in ("a grey cat slept on a sill", "grey dog slept on the sill of a long windows", "nothing like that at all here", "short on", "xy"):
+        e2, c2 = evidence.plain_text(e), evidence.plain_text(ctx)
+        assert evidence.match(e, ctx)[1] == (1.0 if e2 in c2 else plain_best(e2, c2))
+    assert evidence.match("THE  MILL　stood empty。", ctx) == (True, 1.0) and evidence.match(" ", ctx) == (False, 0.0) and evidence.match("x", None) == (False, 0.0)
+    df = spark.createDataFrame([(1, "grey cat", ctx), (2, "a grey cat slept on a sill", ctx), (3, None, ctx)], "i int, e string, c string")
+    assert {r["i"]: r["evidence_found"] for r in evidence.match_evidence(df, "e", "c").collect()} == {1: True, 2: True, 3: False}
+
+
+def test_tokens(spark):
+    t = " One two.\n\nThree  four! five "
+    got = one(spark, "t string", (t,), tokens.encode("t"), tokens.count_tokens("t"), tokens.decode(tokens.encode("t")), tokens.decode(tokens.token_slice(tokens.encode("t"), F.lit(1), F.lit(3))), tokens.decode(tokens.token_slice(tokens.encode("t"), F.lit(None), F.lit(-2))))
+    assert got[2] == t and got[1] == len(got[0]) and got[3] == " two.\n\nThree" and got[4] == "".join(got[0][:-2])
+    toks = got[0]
+    assert toks == [" One", " two.", "\n\nThree", "  four!", " five", " "] and tokens.window_around(toks, 3, 2, 100) == (toks[2:4], 2, 4)
+    long = tokens._WORDS.findall("a b c. d e f\n\ng h. i j k l. m n")
+    assert tokens.aligned_place(long, 2, True) == len(tokens._WORDS.findall("a b c. d e f\n\n")) and tokens.aligned_place(long, len(long), False, 5) == len(long) - 1  # the blank after the full stop is a token when the text before is read anew
+    text_, a, b = tokens.char_window_around("One two. Three four. Five six. Seven.", 20, 2, 100)
+    assert text_ == "One two. Three four. Five six. Seven."[a:b]
+
+
+def test_vocabulary(spark):
+    enc, dec, count = tokens.vocabulary_functions("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    t = "Grénadis walked home — 走了。"
+    enc_of = tokens.load_vocabulary("/opt/tokenizers/byte_bpe_50k.tiktoken").encode_ordinary
+    r = one(spark, "t string", (t,), enc("t").alias("e"), count("t").alias("n"))
+    assert len(r[0]) == r[1] and one(spark, "e array<int>", (r[0],), dec("e"))[0] == t
+    cut_inside = enc_of("—走了。")
+    assert "\ufffd" in one(spark, "e array<int>", (cut_inside[:2],), dec("e"))[0]
+
+
+def test_text(spark):
+    t = "a. b! c"
+    assert one(spark, "t string", (t,), text.boundary_after(F.col("t"), F.lit(1)), text.boundary_before(F.col("t"), F.lit(6)), text.boundary_before(F.col("t"), F.lit(2)), text.boundary_after(F.col("t"), F.lit(5))) == (3, 6, 2, 5)
+    assert one(spark, "t string", ("x" * 101,), text.hover(F.col("t")), text.preview(F.col("t"))) == ("x" * 97 + "...", "x" * 50 + "...")
+    assert one(spark, "t string", ("{question}",), text.render('{"a": [{t}]} {b}', t=F.col("t"), b=F.lit(None)))[0] == '{"a": [{question}]} '
+    assert one(spark, "t string", ("1, 2,3",), text.int_list(F.col("t")))[0] == [1, 2, 3]
