@@ -45,6 +45,21 @@ FROM (SELECT set_id, e, lead(s) OVER (PARTITION BY set_id ORDER BY s) AS n FROM
     "p3_coverage": _P3_PERIODS + "SELECT set_id, count(*) AS periods, CAST(sum(e - s) AS BIGINT) AS covered FROM p GROUP BY set_id",
 }
 
+# JSON is checked for what DuckDB's reader lets pass: commas before a closing bracket, and numbers that JSON does not have.
+_P5 = r"""
+WITH l AS (SELECT DISTINCT line_id, regexp_replace(raw_line, '\r$', '') AS body FROM raw_lines WHERE line_no IS DISTINCT FROM 1 AND NOT regexp_full_match(raw_line, '\s*')),
+m AS (SELECT *, string_split(regexp_replace(body, '"[^"]*"', chr(1), 'g'), ',') AS f FROM l),
+o AS (SELECT *, len(list_filter(f, lambda x: contains(x, '"') OR (contains(x, chr(1)) AND NOT regexp_full_match(x, chr(1) || '+')))) = 0 AS quoting_ok FROM m),
+c AS (SELECT *, regexp_extract_all(CASE WHEN quoting_ok AND len(f) = 6 THEN ',' || body END, ',("(?:[^"]|"")*"|[^",]*)', 1) AS v FROM o),
+d AS (SELECT *, list_transform(v, lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END) AS w FROM c),
+e AS (SELECT *, CASE WHEN json_valid(w[3]) AND NOT regexp_matches(w[3], ',\s*[}\]]') THEN w[3]::JSON END AS ch, CASE WHEN json_valid(w[4]) AND NOT regexp_matches(w[4], ',\s*[}\]]') THEN w[4]::JSON END AS an FROM d),
+g AS (SELECT *, coalesce(json_type(ch) = 'OBJECT' AND len(list_distinct(json_keys(ch))) >= 2 AND len(list_filter(json_extract(ch, '$.*'), lambda x: json_type(x) <> 'VARCHAR')) = 0, false) AS ch_ok,
+  coalesce(json_type(an) = 'ARRAY' AND json_array_length(an) >= 1 AND len(list_filter(json_extract(an, '$[*]'), lambda x: json_type(x) <> 'VARCHAR' OR NOT list_contains(json_keys(ch), json_extract_string(x, '$')))) = 0, false) AS an_ok FROM e)
+SELECT line_id, reason FROM (SELECT line_id, CASE WHEN NOT quoting_ok THEN 'quoting' WHEN len(f) <> 6 THEN 'column_count' WHEN regexp_full_match(w[1], '\s*') THEN 'question' WHEN NOT ch_ok THEN 'choice' WHEN NOT an_ok THEN 'answer'
+  WHEN NOT regexp_full_match(w[5], '[0-9]+') OR NOT regexp_full_match(w[6], '[0-9]+') OR TRY_CAST(w[6] AS BIGINT) < TRY_CAST(w[5] AS BIGINT) THEN 'position' END AS reason FROM g) WHERE reason IS NOT NULL
+"""
+ORACLE["p5_found"] = _P5
+
 
 def queries() -> dict:
     return {f.__name__: f for f in (p3_found, p3_coverage, p5_found, p5_loaded)}
