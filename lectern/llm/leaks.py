@@ -4,7 +4,8 @@ Documents are folded to words (Han characters are words by themselves) and gathe
 FM-index over the words of the test material, every other word being a separator: a suffix array by prefix doubling, the
 Burrows-Wheeler transform in a wavelet matrix, and sampled suffix positions. All short phrases of the test material are
 searched backward at once, their places are located from the samples, and runs of neighbouring hits are extended with a
-bounded number of changed, missing and added words. Spans that meet are merged for removal.
+bounded number of changed, missing and added words; a stretch begins and ends with an equal word, so that a shorter
+quotation never counts as a longer one with its end left out. Spans that meet are merged for removal.
 
 A stretch of n >= 24 words with at most n/9 edits holds a run of at least 6 words without an edit, and a Chinese stretch of
 n >= 36 a run of at least 7, so phrases of these lengths miss nothing.
@@ -133,7 +134,7 @@ class FMIndex:
         order = suffix_order(seq)
         self.bwt = WaveletMatrix(seq[order - 1].astype(np.int32), top)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=top + 1))))
-        self.sampled = order % sample == 0
+        self.sampled = (order % sample == 0) | (seq[order - 1] == 0)  # and after a separator, which no walk then crosses
         self.sample_rank = np.cumsum(self.sampled) - self.sampled
         self.positions = order[self.sampled]
 
@@ -161,7 +162,7 @@ class FMIndex:
             live, at = live[~done], at[~done]
             steps[live] += 1
             symbol, before = self.bwt.symbol_and_rank(at)
-            at = self.first[symbol] + before  # separators too: their order is that of their places
+            at = self.first[symbol] + before
         return out
 
 
@@ -262,7 +263,8 @@ def promising(test: TestMaterial, seq: np.ndarray, u: np.ndarray, t: np.ndarray,
 
 
 def _reach(a: np.ndarray, b: np.ndarray, edits: int) -> list[tuple[int, int]]:
-    """(words of a, words of b) that the longest prefix of ``a`` covers with 0, 1, ... edits against a prefix of ``b``."""
+    """(words of a, words of b) of the longest prefix of ``a`` that meets a prefix of ``b`` with at most 0, 1, ... edits and ends
+    with an equal word."""
     a, b = a.tolist(), b.tolist()
     la, lb = len(a), len(b)
 
@@ -276,15 +278,16 @@ def _reach(a: np.ndarray, b: np.ndarray, edits: int) -> list[tuple[int, int]]:
     for _ in range(edits):
         if out[-1][0] >= la:
             break
-        new = {}
+        new, best = {}, out[-1]
         for k in range(min(row) - 1, max(row) + 2):
             i = max(row.get(k, -1) + 1, row.get(k + 1, -1) + 1, row.get(k - 1, -1))
             i = min(i, la, lb - k)
             if i >= 0 and i + k >= 0:
                 new[k] = slide(i, k)
+                if new[k] > i and new[k] > best[0]:
+                    best = new[k], new[k] + k
         row = new
-        k = max(row, key=lambda x: row[x])
-        out.append((row[k], row[k] + k))
+        out.append(best)
     return out
 
 
@@ -361,10 +364,11 @@ def _search(material: TestMaterial, shard_words: int):
                 lengths.append(len(w) + 1)
                 held += len(w) + 1
                 if held >= shard_words:
-                    yield flush()
+                    if len(found := flush()):
+                        yield found
                     held = 0
-        if ids:
-            yield flush()
+        if ids and len(found := flush()):
+            yield found
 
     return run
 

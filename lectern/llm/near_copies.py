@@ -172,9 +172,11 @@ def _bucket_links(threshold: float):
                     out += links(held)
                     bucket, held = b, []
                 held.append((side, c, own))
-            yield pd.DataFrame(out, columns=["a", "b"])
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
             out = []
-        yield pd.DataFrame(links(held), columns=["a", "b"])
+        if rest := links(held):
+            yield pd.DataFrame(rest, columns=["a", "b"])
 
     return run
 

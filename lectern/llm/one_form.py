@@ -161,7 +161,8 @@ def letter_pairs(*texts: tuple[DataFrame, str]) -> dict[str, int]:
         got: Counter = Counter()
         for pdf in batches:
             count_pairs(iter(pdf["t"]), got)
-        yield pd.DataFrame({"pair": list(got), "n": list(got.values())}, columns=["pair", "n"])
+        if got:
+            yield pd.DataFrame({"pair": list(got), "n": list(got.values())}, columns=["pair", "n"])
 
     total = None
     for df, col in texts:

@@ -133,5 +133,31 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
+_LINKS = r"""
+WITH RECURSIVE q AS (SELECT DISTINCT ON (q_id) q_id, concat_ws(' ', question, array_to_string(map_values(choice), ' ')) AS t FROM questions ORDER BY q_id),
+w AS (SELECT q_id, list_distinct(regexp_extract_all(lower(t), '\p{Han}|[\p{Latin}\p{Cyrillic}\p{Greek}\p{N}]+')) AS w FROM q),
+links AS (SELECT a.q_id AS a, b.q_id AS b FROM w a JOIN w b ON a.q_id <> b.q_id AND len(a.w) > 0 AND len(a.w) >= 0.7 * len(b.w) AND len(b.w) >= 0.7 * len(a.w)
+  WHERE len(list_intersect(a.w, b.w)) >= 0.7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+"""
+
+_TARGETS = r"""
+WITH t AS (SELECT DISTINCT t.*, p.sample_size FROM sample_targets t JOIN sample_plans p USING (plan_id)),
+types AS (SELECT DISTINCT question_type FROM sample_targets),
+a AS (SELECT DISTINCT ON (assignment_id) assignment_id, q_id, context_length, regexp_replace(depth_bin, '\s+', '', 'g') AS b FROM depth_assignments),
+n AS (SELECT *, TRY_CAST(rtrim(b, '%') AS DOUBLE) AS v FROM a WHERE regexp_full_match(b, '\d+(\.\d*)?%?')),
+k AS (SELECT *, CASE WHEN b LIKE '%\%' ESCAPE '\' OR v > 1 THEN v ELSE v * 100 END AS pct FROM n WHERE context_length > 0),
+q AS (SELECT DISTINCT ON (q_id) q_id, regexp_replace(lower(trim(question_type)), '[ _-]+', '_', 'g') AS question_type FROM questions),
+u AS (SELECT q.question_type, concat(CAST(CAST(pct AS INTEGER) AS VARCHAR), '%') AS depth_bin, context_length, count(*) AS n
+  FROM k JOIN q USING (q_id) JOIN types ON types.question_type = q.question_type WHERE pct IN (0, 25, 50, 75, 100) GROUP BY ALL)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express. Reading look-alikes, tokens of a vocabulary, searches with edits and models
+    are not among them; their tests compare them with brute force, round trips and labels."""
+    return {
+        "p2_found": _LINKS + "SELECT DISTINCT a AS q_id_a, b AS q_id_b FROM reach WHERE a < b",
+        "p2_groups": _LINKS + "SELECT q.q_id, least(q.q_id, coalesce(min(r.b), q.q_id)) AS group_id FROM q LEFT JOIN reach r ON r.a = q.q_id GROUP BY q.q_id",
+        "p4_found": _TARGETS + "SELECT t.plan_id, t.question_type, t.depth_bin, t.context_length FROM t LEFT JOIN u USING (question_type, depth_bin, context_length) WHERE coalesce(u.n, 0) < t.min_rows OR coalesce(u.n, 0) < t.target_share * t.sample_size",
+    }

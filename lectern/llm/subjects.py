@@ -204,7 +204,8 @@ def _assign(model: SubjectModel):
             counts = np.bincount(doc * k + subject + 1, minlength=len(terms) * k).reshape(len(terms), k)
             total = counts.sum(1)
             d, s = np.nonzero(counts[:, 1:])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[d], "subject": [model.subjects[x] for x in s], "sentences": counts[d, s + 1], "of": total[d]})
+            if len(d):
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[d], "subject": [model.subjects[x] for x in s], "sentences": counts[d, s + 1], "of": total[d]})
 
     return run
 
