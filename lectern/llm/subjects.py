@@ -3,8 +3,8 @@
 Sentences are embedded by weighted terms and a truncated singular value decomposition. A term's weight is its inverse
 frequency by sentence over the whole corpus times how far the labels of the documents it occurs in stray from the labels at
 large, so that names and phrases of every kind of document weigh little. Centroids seeded in the sentences of each label
-are refined by cosine similarity (spherical k-means); a centroid stands for a subject when most of its sentences come from
-documents labelled with it, and for none otherwise, which is where figures of speech gather. A sentence takes the subject
+are refined by cosine similarity (spherical k-means); a centroid stands for a subject when far more of its sentences than
+usual come from documents labelled with it, and for none otherwise, which is where figures of speech gather. A sentence takes the subject
 of its nearest centroid, a document the subjects of at least a quarter of its sentences.
 
 The model is fitted on a bounded sample of labelled documents; frequencies and assignments cover every document.
@@ -35,6 +35,8 @@ DIMENSIONS, CENTROIDS, ROUNDS = 64, 400, 12
 #: Sentences with fewer terms (headings, numbers) do not count.
 LEAST_TERMS = 3
 SHARE = 0.25
+#: Share of a centroid's sentences from documents of a subject, between what is usual (0) and all (1), from which it stands for it.
+BEYOND_CHANCE = 0.4
 
 
 class _Ids(dict):
@@ -168,11 +170,14 @@ class SubjectModel:
             new = _sums(at, o, None, e)
             c = np.where((at[1:] > at[:-1])[:, None], _unit(new), c)
         near = (e @ c.T).argmax(1)
+        has = np.array([[s in labels[d] for s in subjects] for d in of], float)
         votes = np.zeros((len(c), len(subjects)))
-        np.add.at(votes, near, np.array([[s in labels[d] for s in subjects] for d in of], float))
+        np.add.at(votes, near, has)
         votes /= np.maximum(np.bincount(near, minlength=len(c)), 1)[:, None]
+        usual = has.mean(0)
+        beyond = (votes - usual) / np.maximum(1 - usual, 1e-9)
         self.centroids = c
-        self.meaning = np.where(votes.max(1) >= 0.5, votes.argmax(1), -1)
+        self.meaning = np.where(beyond.max(1) >= BEYOND_CHANCE, beyond.argmax(1), -1)
 
     def assign(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sentence number of each counted term's sentence once, subject number of it or -1) for a stretch of terms."""
