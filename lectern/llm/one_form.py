@@ -183,7 +183,7 @@ def one_form(counts: dict[str, int]):
             state.append(Lattice(counts))
         return texts.map(state[0].form, na_action="ignore")
 
-    return form
+    return form.asNondeterministic()  # else a filter on the result is moved below it and calls it once more
 
 
 def quotes_in_other_characters(quotes: DataFrame, texts: DataFrame, id_col: str, key: str, quote: str, text: str) -> DataFrame:
