@@ -82,7 +82,8 @@ def classify_records(lines: DataFrame) -> DataFrame:
         .drop("masked")
         .withColumn("r", F.from_csv("body", F.lit(schema), options))
     )
-    fields = parsed.withColumn("j", _json_fields("r.choice", "r.answer"))
+    # not to be called once more by filters that are moved below it
+    fields = parsed.withColumn("j", _json_fields.asNondeterministic()("r.choice", "r.answer"))
     digits = lambda c: F.coalesce(F.col(f"r.{c}").rlike(r"^[0-9]+\z"), F.lit(False))
     start, end = (F.expr(f"try_cast(r.{c} as bigint)") for c in ("start_pos", "end_pos"))
     blank = F.coalesce(F.col("r.question").rlike(r"(?U)^\s*\z"), F.lit(True))
