@@ -71,16 +71,16 @@ def schedule(questions: DataFrame, mode: str, lengths: list[int], depth: float |
     raise ValueError(f"no schedule in mode {mode!r}")
 
 
-#: Levels of context length that a plan is made for, with questions per 10,000 tokens.
-LEVELS = ((8_000, 5), (16_000, 5), (32_000, 5), (64_000, 5), (128_000, 5), (200_000, 5), (256_000, 5), (512_000, 5), (1_000_000, 5))
+#: Levels of context length that a plan is made for.
+LEVELS = (2_000, 4_000, 8_000, 16_000, 32_000, 64_000, 128_000, 192_000, 256_000, 512_000, 1_000_000, 2_000_000)
 
 
-def level_plan(spark: SparkSession, novels: DataFrame, levels: tuple[tuple[int, int], ...] = LEVELS, key: str = "novel_id", tokens: str = "total_tokens") -> DataFrame:
+def level_plan(spark: SparkSession, novels: DataFrame, levels: tuple[int, ...] = LEVELS, per_10k: int = 5, key: str = "novel_id", tokens: str = "total_tokens") -> DataFrame:
     """(novel, level, range_start, questions, running_total): questions to ask for each level that a novel is long enough for:
-    max(5, tens of thousands of tokens since the level before times k); 0 for longer levels."""
-    plan = novels.where(F.col(tokens).isNotNull()).select(key, tokens, F.posexplode(F.array(*(F.struct(F.lit(n).alias("level"), F.lit(k).alias("k")) for n, k in levels)))).select(key, tokens, F.col("pos").alias("step"), "col.level", "col.k")
+    max(5, tens of thousands of tokens since the level before times ``per_10k``); 0 for longer levels."""
+    plan = novels.where(F.col(tokens).isNotNull()).select(key, tokens, F.posexplode(F.array(*map(F.lit, levels))).alias("step", "level"))
     w = W.partitionBy(key).orderBy("step")
     start = F.coalesce(F.lag("level").over(w), F.lit(0))
-    need = F.when(F.col("level") > F.col(tokens), 0).otherwise(F.greatest(F.lit(5), F.floor((F.col("level") - F.col("range_start")) / 10_000) * F.col("k")))
+    need = F.when(F.col("level") > F.col(tokens), 0).otherwise(F.greatest(F.lit(5), F.floor((F.col("level") - F.col("range_start")) / 10_000) * per_10k))
     out = plan.withColumn("range_start", start).withColumn("questions", need.cast("bigint"))
     return out.select(key, "level", "range_start", "questions", F.sum("questions").over(w).alias("running_total"))

@@ -268,6 +268,12 @@ def schedule_fixed(s, d):
 
 @_q("SELECT novel_id, level, range_start, CAST(questions AS BIGINT) AS questions, CAST(sum(questions) OVER (PARTITION BY novel_id ORDER BY level) AS BIGINT) AS running_total FROM (SELECT novel_id, level, range_start, CASE WHEN level > total_tokens THEN 0 ELSE greatest(5, ((level - range_start) // 10000) * 5) END AS questions FROM novels, (SELECT level, coalesce(lag(level) OVER (ORDER BY level), 0) AS range_start FROM (SELECT unnest([8000, 16000, 32000, 64000, 128000, 200000, 256000, 512000, 1000000]) AS level)) WHERE total_tokens IS NOT NULL)", raw=True)
 def level_plan(s, d):
+    """The nine levels of its SQL; :func:`level_plan_all` has all."""
+    return sequence.level_plan(s, table(s, d, "novels"), (8_000, 16_000, 32_000, 64_000, 128_000, 200_000, 256_000, 512_000, 1_000_000))
+
+
+@_q("SELECT novel_id, level, range_start, CAST(questions AS BIGINT) AS questions, CAST(sum(questions) OVER (PARTITION BY novel_id ORDER BY level) AS BIGINT) AS running_total FROM (SELECT novel_id, level, range_start, CASE WHEN level > total_tokens THEN 0 ELSE greatest(5, ((level - range_start) // 10000) * 5) END AS questions FROM novels, (SELECT level, coalesce(lag(level) OVER (ORDER BY level), 0) AS range_start FROM (SELECT unnest([2000, 4000, 8000, 16000, 32000, 64000, 128000, 192000, 256000, 512000, 1000000, 2000000]) AS level)) WHERE total_tokens IS NOT NULL)", raw=True)
+def level_plan_all(s, d):
     return sequence.level_plan(s, table(s, d, "novels"))
 
 

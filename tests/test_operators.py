@@ -170,3 +170,12 @@ def test_checks(spark):
         with pytest.raises(ValueError):
             checks.check_lengths(p, lengths, n, 500)
     assert checks.estimated_novel_length(p).first()[0] == 6120 and checks.estimated_novel_length(p.limit(0)).first()[0] == 100_000
+
+
+def test_level_plan_has_every_level(spark):
+    novels = spark.createDataFrame([(1, 2_400_000), (2, 200_000), (3, None)], "novel_id bigint, total_tokens bigint")
+    rows = sequence.level_plan(spark, novels).orderBy("novel_id", "level").collect()
+    assert [(r.level, r.questions) for r in rows if r.novel_id == 1] == [(2_000, 5), (4_000, 5), (8_000, 5), (16_000, 5), (32_000, 5), (64_000, 15), (128_000, 30), (192_000, 30), (256_000, 30), (512_000, 125), (1_000_000, 240), (2_000_000, 500)]
+    assert [r.running_total for r in rows if r.novel_id == 2] == [5, 10, 15, 20, 25, 40, 70, 100, 100, 100, 100, 100]
+    assert len(rows) == 24
+    assert sequence.level_plan(spark, novels, per_10k=10).where("novel_id = 1 and level = 2000000").first().questions == 1000
