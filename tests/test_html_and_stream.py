@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.sources import html
-from lectern.streaming.live import live_scores, read_results
+from lectern.streaming.live import TooLate, live_scores, read_results
 
 D = "/root/testdata/sf0.001"
 
@@ -34,3 +34,23 @@ def test_stream_is_the_batch(spark, tmp_path):
     got = spark.table("live")
     assert got.agg(F.sum("n")).first()[0] == once.count()
     assert got.count() == once.groupBy(F.window("tested_at", "1 hour"), "model_name").count().count()
+
+
+@pytest.mark.parametrize("more, whole", [({}, True), ({"late": "1 day"}, False)])
+def test_stream_in_order_of_arrival(spark, tmp_path, more, whole):
+    rows = spark.read.parquet(f"{D}/results.parquet").dropDuplicates(["result_id"]).where("tested_at is not null").cache()
+    folder, name, late = str(tmp_path / "in"), f"arrivals_{whole}".lower(), TooLate()
+    parts = [p.drop("part") for p in (rows.withColumn("part", F.expr("ntile(8) over (order by loaded_at, result_id)")).where(F.col("part") == k) for k in range(1, 9))]
+    parts[0].write.parquet(folder)
+    spark.streams.addListener(late)
+    s = live_scores(read_results(spark, folder, rows.schema), **more).writeStream.outputMode("complete").format("memory").queryName(name).start()
+    for k in range(8):
+        if k:
+            parts[k].write.mode("append").parquet(folder)
+        s.processAllAvailable()
+    s.stop()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    spark.streams.removeListener(late)
+    counted, dropped = spark.table(name).agg(F.sum("n")).first()[0], late.rows[str(s.id)]
+    assert counted + dropped == rows.count()
+    assert (dropped == 0) == whole
