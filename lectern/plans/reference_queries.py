@@ -15,7 +15,7 @@ from lectern.functions import evidence, replies, rules, text, tokens
 from lectern.operators import bins, checks, context, metrics, recovery, sampling, sequence
 from lectern.plans.session import table
 
-LENGTH, BINS, PADDING = 200_000, 50, 500
+LENGTH, BINS, PADDING, WINDOW = 200_000, 50, 500, 500
 LENGTHS = [32_000, 64_000, 128_000, 200_000]
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -428,6 +428,19 @@ def evidence_slice(s, d):
     return table(s, d, "documents").select("doc_id", tokens.decode(tokens.token_slice(tokens.encode(F.coalesce("text", F.lit(""))), at, at + 20)).alias("part"))
 
 
+@_q(f"SELECT doc_id, array_to_string(({_TOK})[1:{LENGTH}], '') AS head FROM documents", raw=True)
+def first_n_context_full(s, d):
+    return table(s, d, "documents").select("doc_id", tokens.decode(tokens.first_tokens(tokens.encode(F.coalesce("text", F.lit(""))), LENGTH)).alias("head"))
+
+
+@_q(f"SELECT doc_id, array_to_string(tok[p + 1 : p + {2 * PADDING}], '') AS part FROM (SELECT doc_id, tok, CAST(('0x' || substr({_MD5('doc_id')}, 1, 7)) AS BIGINT) % greatest(len(tok), 1) AS p FROM (SELECT doc_id, {_TOK} AS tok FROM documents))", raw=True)
+def evidence_slice_full(s, d):
+    """As long as the padding on both sides of a question, at places over the whole text."""
+    docs = table(s, d, "documents").select("doc_id", tokens.encode(F.coalesce("text", F.lit(""))).alias("tokens"))
+    at = sampling.seeded_number(F.col("doc_id")) % F.greatest(F.size("tokens"), F.lit(1))
+    return docs.select("doc_id", tokens.decode(tokens.token_slice(F.col("tokens"), at, at + 2 * PADDING)).alias("part"))
+
+
 _BUILD = f"""j AS (SELECT a.assignment_id, a.target_depth AS dep, a.context_length AS len, q.position.start_pos AS qs, q.position.end_pos AS qe, n.total_tokens AS n FROM asg a JOIN que q ON a.q_id = q.q_id JOIN novels n ON q.novel_id = n.novel_id
  WHERE n.total_tokens IS NOT NULL AND a.context_length > 0),
 k AS (SELECT *, least(greatest(0, qs - {PADDING}), n) AS s, least(n, qe + {PADDING}) AS e FROM j),
@@ -495,7 +508,7 @@ def text_normalize(s, d):
 @_q()
 def aligned_window(s, d):
     docs = table(s, d, "documents").where("text <> ''").select("doc_id", tokens.encode("text").alias("tokens"))
-    w = docs.select("doc_id", tokens.aligned_window(200)("tokens", F.floor(F.size("tokens") / 2).cast("bigint")).alias("w"))
+    w = docs.select("doc_id", tokens.aligned_window(WINDOW)("tokens", sampling.seeded_number(F.col("doc_id")) % F.size("tokens")).alias("w"))
     return w.select("doc_id", "w.start", "w.end", tokens.decode("w.tokens").alias("text"))
 
 

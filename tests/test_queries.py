@@ -63,3 +63,13 @@ def test_the_rest_stands_without_the_llm_folder(tmp_path):
     subprocess.run(["rm", "-rf", tmp_path / "lectern/llm"], check=True)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert 'p3_found' in q and 'p1_found' not in q, q; e.oracle_sql()"], cwd=tmp_path, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
+
+
+def test_cuts_have_the_lengths_of_contexts(spark):
+    words = "array_size(regexp_extract_all({}, '\\\\S+', 0))"
+    docs = spark.read.parquet(f"{D}/documents.parquet").selectExpr("doc_id", "text", words.format("text") + " as n")
+    q = lambda name: docs.join(entry.queries()[name](spark, D), "doc_id").where("n > 1500")
+    assert q("first_n_context_full").count() > 0 and q("first_n_context_full").where("head <> text").count() == 0
+    parts = q("evidence_slice_full").selectExpr(words.format("part") + " as k", "instr(text, part) / length(text) as at").collect()
+    assert max(r.k for r in parts) > 500 and max(r["at"] for r in parts) > 0.2
+    assert q("aligned_window").where("end - start > 400").count() > 0
