@@ -31,6 +31,7 @@ _ENDS = frozenset(".!?。¶")
 
 #: Labelled documents and sentences of them that the model is fitted on, at most.
 LABEL_DOCS, LABEL_SENTENCES = 3_000, 60_000
+MAX_SUBJECTS = 1_000
 DIMENSIONS, CENTROIDS, ROUNDS = 64, 400, 12
 #: Sentences with fewer terms (headings, numbers) do not count.
 LEAST_TERMS = 3
@@ -223,7 +224,9 @@ def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_c
     The model is fitted on at most ``label_docs`` labelled documents, chosen by a hash of their id. Ids are unique; a
     repeated id counts as one more document. Without labels nothing is about anything.
     """
-    names = sorted(r["subject"] for r in subjects.where("subject is not null").select("subject").distinct().limit(1000).collect())
+    names = sorted(r["subject"] for r in subjects.where("subject is not null").select("subject").distinct().limit(MAX_SUBJECTS + 1).collect())
+    if len(names) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     made = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null").mapInPandas(_features, "doc_id bigint, terms array<int>, counts array<bigint>"))
     feats = made.where("doc_id is not null").select("doc_id", "terms")
     chosen = labels.where(F.col("doc_id").isNotNull() & (F.col("subject").isNull() | F.col("subject").isin(names))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(label_docs)

@@ -68,3 +68,9 @@ def test_held_out_labels(spark):
     found = found.join(held.select("doc_id").distinct(), "doc_id", "left_semi")
     hit, n, m = found.intersect(want).count(), want.count(), found.count()
     assert hit / n > 0.85 and hit / m > 0.9  # some 500 labelled documents are left to learn from
+
+
+def test_too_many_subjects(spark):
+    docs, labels = spark.createDataFrame([(1, "a judge")], "doc_id bigint, text string"), spark.createDataFrame([(1, "s1")], "doc_id bigint, subject string")
+    with pytest.raises(ValueError, match="more than 1000 subjects"):
+        subject_shares(docs, labels, spark.range(1001).selectExpr("concat('s', id) as subject"))
