@@ -457,6 +457,22 @@ def context_build(s, d):
     return b.select("assignment_id", "built.success", "built.error_message", "built.prefix_length", "built.suffix_length", "built.total_length", _r("built.actual_depth").alias("actual_depth"))
 
 
+@_q()
+def context_text(s, d):
+    """Whole contexts of all assignments whose novel has chapters among the documents; its text is these by doc_id, with an
+    empty line between. Evidence beyond the end of that text is empty. A novel goes to one more task for every 1,000 of its
+    assignments, and is split into tokens there."""
+    q = _questions(s, d).select("q_id", "novel_id", "position.start_pos", "position.end_pos")
+    a = _once(s, d, "depth_assignments", "assignment_id").where("context_length > 0").select("assignment_id", "q_id", "target_depth", "context_length").join(q, "q_id")
+    copies = a.groupBy("novel_id").agg(F.ceil(F.count("*") / 1000).cast("int").alias("copies"))
+    chapters = table(s, d, "documents").where("kind = 'chapter' and novel_id is not null and text <> ''").select("novel_id", F.struct("doc_id", "text").alias("c"))
+    texts = chapters.groupBy("novel_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["text"]), "\n\n").alias("text"))
+    novels = texts.join(copies, "novel_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).repartition(8 * s.sparkContext.defaultParallelism, "novel_id", "copy").select("novel_id", "copy", tokens.encode("text").alias("tokens"))
+    a = a.join(F.broadcast(copies), "novel_id").withColumn("copy", F.pmod(F.hash("assignment_id"), F.col("copies")))
+    b = context.build_contexts(a.join(novels, ["novel_id", "copy"]), F.col("start_pos"), F.col("end_pos"), F.col("target_depth"), F.col("context_length"), "tokens", None, PADDING)
+    return b.select("assignment_id", "built.success", "built.total_length", "context")
+
+
 @_q("""SELECT q_id, array_to_string(list_transform(map_entries(choice), lambda e: concat(e.key, '. ', e.value)), chr(10)) AS lines, array_to_string(list_transform(list_sort(map_entries(choice)), lambda e: concat(upper(e.key), '. ', e.value)), chr(10)) AS sorted_lines FROM que WHERE choice IS NOT NULL AND len(list_filter(map_values(choice), lambda v: v IS NULL)) = 0""")
 def choice_format(s, d):
     ok = F.col("choice").isNotNull() & ~F.exists(F.map_values("choice"), lambda v: v.isNull())

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 import subprocess
 import sys
 
@@ -73,3 +74,27 @@ def test_cuts_have_the_lengths_of_contexts(spark):
     parts = q("evidence_slice_full").selectExpr(words.format("part") + " as k", "instr(text, part) / length(text) as at").collect()
     assert max(r.k for r in parts) > 500 and max(r["at"] for r in parts) > 0.2
     assert q("aligned_window").where("end - start > 400").count() > 0
+
+
+def test_contexts_are_whole_texts(spark, duck):
+    got = {r.assignment_id: r for r in entry.queries()["context_text"](spark, D).collect()}
+    texts = {k: re.findall(r"\s*\S+|\s+", t, re.A) for k, t in duck.execute("select novel_id, string_agg(text, chr(10) || chr(10) order by doc_id) from documents where kind = 'chapter' and novel_id is not null and text <> '' group by 1").fetchall()}
+    rows = duck.execute("select distinct on (a.assignment_id) a.assignment_id, q.novel_id, q.position.start_pos, q.position.end_pos, a.target_depth, a.context_length from depth_assignments a join questions q using (q_id) where a.context_length > 0").fetchall()
+    rows = [r for r in rows if r[1] in texts]
+    assert rows and set(got) == {r[0] for r in rows}
+    built = 0
+    for key, novel, start, end, depth, length in rows:
+        t, r = texts[novel], got[key]
+        if depth is None or not 0 <= depth <= 1 or start is None or end is None:
+            assert not r.success and r.context == ""
+            continue
+        s, e = min(max(0, start - 500), len(t)), min(len(t), end + 500)
+        size = max(e - s, 0)
+        if size >= length:
+            assert not r.success and r.context == ""
+            continue
+        assert r.success and len(re.findall(r"\s*\S+|\s+", r.context, re.A)) <= r.total_length
+        if size and length >= len(t):
+            assert "".join(t[s:e]) in r.context and sum(map(len, t)) == len(r.context)
+        built += r.context != ""
+    assert built > 0
