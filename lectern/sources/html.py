@@ -4,6 +4,7 @@ driver."""
 from __future__ import annotations
 
 import html
+import math
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -40,19 +41,20 @@ def strip(cells: list[tuple[str, float | None]], height: int = 40) -> str:
     return f"<svg width='900' height='{height}'>" + "".join(f"<rect x='{k * w:.2f}' y='0' width='{w:.2f}' height='{height}' fill='{shade(v)}'><title>{html.escape(label)}</title></rect>" for k, (label, v) in enumerate(cells)) + "</svg>"
 
 
-def scatter(points: list[dict], top: float) -> str:
-    """Scores by position with the trend."""
+def scatter(cells: list[dict], trend: list[dict], top: float) -> str:
+    """Cells of results by position and score, larger for more results, with the trend."""
     x = lambda p: 880 * p / max(top, 1) + 10
     y = lambda s: 190 - 170 * s
-    dots = "".join(f"<circle cx='{x(p['start_pos']):.1f}' cy='{y(p['score']):.1f}' r='3' fill='{_COLORS.get(p['color'], '#888')}'><title>{html.escape(p['hover'] or '')}</title></circle>" for p in points)
-    line = " ".join(f"{x(p['start_pos']):.1f},{y(p['trend']):.1f}" for p in points)
+    dots = "".join(f"<circle cx='{x(p['start_pos']):.1f}' cy='{y(p['score']):.1f}' r='{min(8.0, 2 + math.log2(1 + p['n'])):.1f}' fill='{_COLORS.get(p['color'], '#888')}'><title>{p['n']} result(s): {html.escape(p['hover'] or '')}</title></circle>" for p in cells)
+    line = " ".join(f"{x(p['start_pos']):.1f},{y(p['trend']):.1f}" for p in trend)
     return f"<svg width='900' height='200'>{dots}<polyline points='{line}' fill='none' stroke='#1565c0'/></svg>"
 
 
-def report(results: DataFrame, path: str, metadata: dict | None = None, errors: int = 10, points: int = 5000, seed: int = 0) -> None:
+def report(results: DataFrame, path: str, metadata: dict | None = None, errors: int = 10, across: int = 440, seed: int = 0) -> None:
     """A page with the metrics, the scores by position with their trend, and a random sample of errors. ``results`` has
-    result_id, question, start_pos and the columns of a result. A run without rows is an error; the plot shows at most
-    ``points`` rows, drawn at random from longer runs, with trends taken over all rows."""
+    result_id, question, start_pos and the columns of a result. A run without rows is an error; the plot shows
+    all rows with a position, counted in cells of ``across`` stretches of position, score and color, and the mean trend of each
+    stretch."""
     m = metrics.all_metrics(results).first().asDict()
     if not m["total"]:
         raise ValueError("the run has no results")
@@ -60,15 +62,19 @@ def report(results: DataFrame, path: str, metadata: dict | None = None, errors:
     from lectern.functions.answers import color
 
     trend = sequence.trend_line(scored, "run_", score="report_score", tie="result_id")
-    shown = sampling.first_by_hash(trend.join(scored.select("result_id", color(F.col("report_score"), F.col("parsing_status")).alias("color"), hover(F.col("question")).alias("hover")), "result_id"), "result_id", points, seed)
-    dots = sorted((r.asDict() | {"score": r["report_score"]} for r in shown.collect()), key=lambda r: r["start_pos"])
+    low, top = scored.agg(F.min("start_pos"), F.max("start_pos")).first()
+    stretch = F.floor((F.col("start_pos") - (low or 0)) * across / ((top or 0) - (low or 0) + 1)).alias("stretch")
+    every = trend.join(scored.select("result_id", color(F.col("report_score"), F.col("parsing_status")).alias("color"), hover(F.col("question")).alias("hover")), "result_id")
+    place = F.avg("start_pos").alias("start_pos")
+    dots = [r.asDict() for r in every.groupBy(stretch, F.round("report_score", 2).alias("score"), "color").agg(place, F.count("*").alias("n"), F.min("hover").alias("hover")).orderBy("stretch").collect()]
+    line = [r.asDict() for r in every.groupBy(stretch).agg(place, F.avg("trend").alias("trend")).orderBy("stretch").collect()]
     bad = metrics.scored(results).where(F.col("category").isin("incorrect", "partially_correct", "parsing_error"))
     sample = [r.asDict() for r in sampling.first_by_hash(bad.select("result_id", hover(F.col("question")).alias("question"), "category", F.array_join("correct_answer", ", ").alias("correct"), F.array_join("model_answer", ", ").alias("answered")), "result_id", errors, seed).collect()]
     from lectern.sources.files import redacted
 
     info = [{"key": k, "value": v} for k, v in redacted(metadata or {}).items()]
     rate = metrics.error_rate(results).first()
-    body = page("Report", "<h2>Run</h2>", table(info), "<h2>Metrics</h2>", table([m]), "<h2>Scores by position</h2>", scatter(dots, max([d["start_pos"] for d in dots], default=1)), f"<h2>Errors ({rate['errors']} of {rate['total']}, {100 * rate['error_rate']:.1f} %)</h2>", table(sample))
+    body = page("Report", "<h2>Run</h2>", table(info), "<h2>Metrics</h2>", table([m]), "<h2>Scores by position</h2>", f"<p>{sum(d['n'] for d in dots)} of {m['total']} results have a position and are shown.</p>", scatter(dots, line, top or 1), f"<h2>Errors ({rate['errors']} of {rate['total']}, {100 * rate['error_rate']:.1f} %)</h2>", table(sample))
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(body, encoding="utf-8")
 

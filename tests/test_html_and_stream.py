@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +56,12 @@ def test_stream_in_order_of_arrival(spark, tmp_path, more, whole):
     counted, dropped = spark.table(name).agg(F.sum("n")).first()[0], late.rows[str(s.id)]
     assert counted + dropped == rows.count()
     assert (dropped == 0) == whole
+
+
+def test_plot_shows_every_result(spark, tmp_path):
+    r = spark.read.parquet(f"{D}/results.parquet").limit(1).drop("q_id").crossJoin(spark.range(6000).withColumnRenamed("id", "k"))
+    r = r.withColumn("result_id", F.col("k").cast(dict(r.dtypes)["result_id"])).withColumn("start_pos", F.col("k") * 10).withColumn("question", F.lit("q"))
+    html.report(r, str(tmp_path / "r.html"))
+    text = (tmp_path / "r.html").read_text(encoding="utf-8")
+    assert sum(map(int, re.findall(r"<title>(\d+) result", text))) == 6000
+    assert "6000 of 6000 results have a position and are shown" in text
