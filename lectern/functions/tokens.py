@@ -6,13 +6,16 @@ import base64
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.plans.session import send_file
+
 #: A word with the blanks before it; lossless, and the same in every engine.
 WORDS = r"\s*\S+|\s+"
 _WORDS = re.compile(WORDS)
+# What ends a sentence and a paragraph.
 _SENTENCE, _PARAGRAPH = re.compile(r"[.!?][\s\n]"), re.compile(r"\n\n")
 # How a byte-level vocabulary splits text before merging.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,14 +55,16 @@ def load_vocabulary(path: str):
     return tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def vocabulary_functions(path: str):
-    """(encode, decode, count) over the vocabulary at ``path``, which must be on every executor. Decoding joins the bytes of
-    a whole sequence, so that a character cut by a slice becomes one replacement mark."""
+def vocabulary_functions(path: str, spark: SparkSession | None = None):
+    """(encode, decode, count) over the vocabulary at ``path``, which is sent to the executors when ``spark`` is given and must
+    be there already otherwise. Decoding joins the bytes of a whole sequence, so that a character cut by a slice becomes one
+    replacement mark."""
     held: list = []
+    local = send_file(spark, path) if spark else lambda: path
 
     def own():
         if not held:
-            held.append(load_vocabulary(path))
+            held.append(load_vocabulary(local()))
         return held[0]
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))

@@ -59,6 +59,29 @@ def ship(spark: SparkSession) -> None:
     sc._lectern_shipped = True
 
 
+def send_file(spark: SparkSession, path: str):
+    """Send a small file of the driver to all executors, once per application; gives a function of no arguments that returns
+    its path where it is called."""
+    import os
+
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_lectern_sent", {})
+    name = sent.get(path)
+    if name is None:
+        name = os.path.basename(path)
+        if name in sent.values():
+            raise ValueError(f"another file named {name} was sent before")
+        sc.addFile(path)
+        sent[path] = name
+
+    def local() -> str:
+        from pyspark import SparkFiles
+
+        return SparkFiles.get(name)
+
+    return local
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over as many tasks as the session shuffles to: for steps in Python after a small shuffle, which would otherwise
     follow the number of bytes and leave cores idle."""
