@@ -9,7 +9,6 @@ that the waste of a shard's last container is spread over thousands of items.
 
 from __future__ import annotations
 
-import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -17,25 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.plans.session import cut
+from lectern.functions.tokens import load_vocabulary
+from lectern.plans.session import cut, send_file
 
 #: Items per shard on average.
 SHARD_ITEMS = 20_000
-#: Kinds of container in one call.
-MAX_KINDS = 1_000
-DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# How the byte-level vocabulary splits text before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def load_encoding(vocabulary: str):
-    """A byte-level tokenizer from a file of ranks."""
-    import tiktoken
-
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
+#: Kinds of container that one pass over the measured documents takes; more are taken in several.
+KINDS_PER_PASS = 1_000
+DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 _STRETCH = 100_000
 
@@ -56,15 +44,16 @@ def count_tokens(encode, text: str | None) -> int:
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(id_col, tokens). A null text has 0 tokens. The vocabulary file must be at the same path on every executor."""
+    """(id_col, tokens). A null text has 0 tokens. The driver reads the vocabulary file and sends it to every executor."""
+    local = send_file(docs.sparkSession, vocabulary)
+    state: list = []
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
         if not state:
-            state.append(load_encoding(vocabulary).encode_ordinary)
+            state.append(load_vocabulary(local()).encode_ordinary)
         return texts.map(lambda t: count_tokens(state[0], t)).astype("int64")
 
-    state: list = []
     return docs.select(F.col(id_col), count(text_col).alias("tokens"))
 
 
@@ -134,11 +123,13 @@ def pack_documents(docs: DataFrame, containers: DataFrame, id_col: str = "doc_id
     sized = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
     counts = cut(token_counts(sized, "doc_id", "text", vocabulary).groupBy("doc_id").agg(F.max("tokens").alias("tokens")).where("tokens > 0"))
     shards = max(1, round(counts.count() / shard_items))
-    kinds = containers.where("capacity_tokens > 0 and container_id is not null").groupBy("container_id").agg(F.max("capacity_tokens").cast("bigint").alias("capacity")).orderBy("container_id").limit(MAX_KINDS + 1).collect()
-    if len(kinds) > MAX_KINDS:
-        raise ValueError(f"more than {MAX_KINDS} kinds of container")
-    kind = F.array(*(F.struct(F.lit(k["container_id"]).alias("container_id"), F.lit(k["capacity"]).cast("bigint").alias("capacity")) for k in kinds)) if kinds else F.expr("cast(array() as array<struct<container_id:string,capacity:bigint>>)")
-    each = counts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).withColumn("kind", F.explode(kind)).select("doc_id", "tokens", "shard", "kind.*")
+    kinds = containers.where("capacity_tokens > 0 and container_id is not null").groupBy("container_id").agg(F.max("capacity_tokens").cast("bigint").alias("capacity")).orderBy("container_id").collect()
+    sharded = counts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    each = None
+    for k in range(0, max(1, len(kinds)), KINDS_PER_PASS):
+        kind = [F.struct(F.lit(r["container_id"]).alias("container_id"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in kinds[k : k + KINDS_PER_PASS]]
+        part = sharded.withColumn("kind", F.explode(F.array(*kind) if kind else F.expr("cast(array() as array<struct<container_id:string,capacity:bigint>>)"))).select("doc_id", "tokens", "shard", "kind.*")
+        each = part if each is None else each.unionByName(part)
     pieces = F.ceil(F.col("tokens") / F.col("capacity")).cast("bigint")
     cuts = each.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(1).cast("bigint"), "pieces")))
     items = cuts.withColumn("tokens", F.least("capacity", F.col("tokens") - (F.col("piece") - 1) * F.col("capacity")))
@@ -146,3 +137,14 @@ def pack_documents(docs: DataFrame, containers: DataFrame, id_col: str = "doc_id
     rest = items.where("tokens < capacity").select("container_id", "capacity", "shard", "doc_id", "piece", "pieces", "tokens")
     packed = rest.repartition("shard", "container_id").sortWithinPartitions("shard", "container_id").mapInPandas(_pack, "container_id string, capacity bigint, shard int, bin bigint, doc_id bigint, piece bigint, pieces bigint, tokens bigint")
     return packed.unionByName(full)
+
+
+def fill_report(packed: DataFrame) -> DataFrame:
+    """(container_id, capacity, containers, documents, cut, tokens, unused, fill, least): one row for each kind of container of
+    :func:`pack_documents`: how many containers hold how many documents (``cut``: those in more than one piece) and tokens, the
+    space left over, the share filled, and the number of containers that no packing can go below. A kind that holds nothing has
+    no row."""
+    boxes = packed.groupBy("container_id", "capacity", "shard", "bin").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("piece") == 1).alias("documents"), F.count_if((F.col("piece") == 1) & (F.col("pieces") > 1)).alias("cut"))
+    sums = boxes.groupBy("container_id", "capacity").agg(F.count("*").alias("containers"), F.sum("documents").alias("documents"), F.sum("cut").alias("cut"), F.sum("tokens").alias("tokens"))
+    space = F.col("containers") * F.col("capacity")
+    return sums.select("container_id", "capacity", "containers", "documents", "cut", "tokens", (space - F.col("tokens")).alias("unused"), (F.col("tokens") / space).alias("fill"), F.ceil(F.col("tokens") / F.col("capacity")).alias("least"))

@@ -96,6 +96,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_packed(spark, d).where("pieces > 1 and piece = 1").select("container_id", "doc_id")
 
 
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill_report(p6_packed(spark, d))
+
+
 # 7: leaks
 
 
@@ -129,7 +134,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p1_found, p1_one_form, p2_found, p2_groups, p4_found, p4_report, p4_sample, p6_found, p6_packed, p7_found, p7_leaks, p8_found, p8_subjects, p8_composition)
+    own = (p1_found, p1_one_form, p2_found, p2_groups, p4_found, p4_report, p4_sample, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_subjects, p8_composition)
     return {f.__name__: f for f in own}
 
 

@@ -4,7 +4,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm.packing import DEFAULT_VOCABULARY, count_tokens, load_encoding, pack_documents, pack_items, token_counts
+from lectern.functions.tokens import load_vocabulary
+from lectern.llm import packing
+from lectern.llm.packing import DEFAULT_VOCABULARY, count_tokens, fill_report, pack_documents, pack_items, token_counts
 
 
 @settings(deadline=None, max_examples=200)
@@ -36,7 +38,7 @@ def test_little_space_is_left():
 
 
 def test_token_counts_of_long_texts(spark):
-    enc = load_encoding(DEFAULT_VOCABULARY).encode_ordinary
+    enc = load_vocabulary(DEFAULT_VOCABULARY).encode_ordinary
     t = "Grénadis walked home, and 42 geese followed. 走了！\n\n" * 12_000
     assert count_tokens(enc, t) == len(enc(t)) and count_tokens(enc, None) == 0
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id bigint, text string")
@@ -60,3 +62,26 @@ def test_documents(spark):
             p = sorted(pieces[c, d])
             assert sum(x[2] for x in p) == n and len(p) == p[0][1] == -(-n // cap) and all(x[2] == cap for x in p[:-1])
     assert pack_documents(docs.limit(0), boxes).count() == 0 and pack_documents(docs, boxes.limit(0)).count() == 0
+
+
+def test_more_kinds_than_one_pass_takes(spark, monkeypatch):
+    monkeypatch.setattr(packing, "KINDS_PER_PASS", 3)
+    docs = spark.createDataFrame([(k, " home" * (k + 1)) for k in range(9)], "doc_id bigint, text string")
+    boxes = spark.createDataFrame([(f"c{k}", 10 + k) for k in range(8)], "container_id string, capacity_tokens int")
+    got = pack_documents(docs, boxes).groupBy("container_id").agg({"tokens": "sum"}).collect()
+    assert {r[0]: r[1] for r in got} == {f"c{k}": 45 for k in range(8)}
+
+
+def test_fill_over_the_tables(spark):
+    """Every kind of container is more than 98 % full, against the packed rows counted here."""
+    d = "/root/testdata/sf0.01"
+    packed = pack_documents(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/containers.parquet")).cache()
+    rows = packed.collect()
+    for r in fill_report(packed).collect():
+        own = [x for x in rows if x["container_id"] == r["container_id"]]
+        boxes = Counter()
+        for x in own:
+            boxes[x["shard"], x["bin"]] += x["tokens"]
+        assert max(boxes.values()) <= r["capacity"] and (r["containers"], r["tokens"], r["documents"]) == (len(boxes), sum(boxes.values()), len({x["doc_id"] for x in own}))
+        assert r["least"] <= r["containers"] and r["unused"] == len(boxes) * r["capacity"] - r["tokens"] and r["fill"] > 0.98
+    packed.unpersist()
