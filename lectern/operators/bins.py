@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.schema import DEPTH_LABELS
 
@@ -102,6 +101,3 @@ def resolved_length(given: Column | None, metadata: DataFrame | None) -> int:
         if row is not None and name in row.asDict() and row[name]:
             return int(row[name])
     raise ValueError("no context length is given and the metadata has none")
-
-
-GRID = T.StructType([T.StructField("test_context_length", T.LongType()), T.StructField("depth_bin", T.StringType()), T.StructField("accuracy", T.DoubleType()), T.StructField("question_count", T.LongType())])

@@ -16,37 +16,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.plans.session import need_columns
+from lectern.plans.session import cut, need_columns, task_count
 
 _STATE = "k string, starts array<bigint>, ends array<bigint>"
 #: Rows that a partition gathers before it reduces them.
 BLOCK_ROWS = 1_000_000
 
 
-def coalesce_ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Disjoint sorted ranges that cover the same points; touching ranges become one."""
+def coalesce_ranges(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, starts, ends) of disjoint ranges, sorted by code and start, that cover the same points of each code; touching
+    ranges become one."""
     if not len(starts):
-        return starts, ends
-    order = np.argsort(starts, kind="stable")
-    s, reach = starts[order], np.maximum.accumulate(ends[order])
-    first = np.flatnonzero(np.concatenate(([True], s[1:] > reach[:-1])))
-    return s[first], reach[np.concatenate((first[1:] - 1, [len(s) - 1]))]
+        return codes, starts, ends
+    order = np.lexsort((starts, codes))
+    c, s = codes[order], starts[order]
+    reach = pd.Series(ends[order]).groupby(c).cummax().to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (s[1:] > reach[:-1]))))
+    return c[first], s[first], reach[np.append(first[1:] - 1, len(s) - 1)]
 
 
 def _states(k: np.ndarray, s: np.ndarray, e: np.ndarray) -> pd.DataFrame:
     """One state per key of the ranges given."""
     codes, keys = pd.factorize(k, use_na_sentinel=False)
-    order = np.argsort(codes, kind="stable")
-    cuts = np.flatnonzero(np.diff(codes[order])) + 1
-    out = []
-    for part in np.split(order, cuts) if len(order) else []:
-        out.append((keys[codes[part[0]]], *coalesce_ranges(s[part], e[part])))
-    return pd.DataFrame({name: pd.Series([r[i] for r in out], dtype=object) for i, name in enumerate(("k", "starts", "ends"))})
+    c, s, e = coalesce_ranges(codes, s, e)
+    at = np.flatnonzero(np.diff(c)) + 1
+    own = keys[c[np.concatenate(([0], at))]] if len(c) else keys[:0]
+    lists = lambda x: pd.Series(np.split(x, at) if len(x) else [], dtype=object)
+    return pd.DataFrame({"k": pd.Series(own, dtype=object), "starts": lists(s), "ends": lists(e)})
 
 
 def _flat(states: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pdf = pd.concat(states, ignore_index=True)
-    n = pdf["starts"].map(len).to_numpy()
+    n = pdf["starts"].map(len).to_numpy(np.int64)
     return np.repeat(pdf["k"].to_numpy(dtype=object), n), np.concatenate([*pdf["starts"], np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*pdf["ends"], np.empty(0, np.int64)]).astype(np.int64)
 
 
@@ -68,23 +69,61 @@ def _reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _states(*_flat(held))
 
 
-def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return _states(*_flat([pdf[["k", "starts", "ends"]]]))
+def _merge_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merges the states of each (k, salt) of a partition sorted by them; a key may go on in the next batch."""
+    held: list[pd.DataFrame] = []
+    last: tuple = ()
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        k, salt = pdf["k"].to_numpy(dtype=object), pdf["salt"].to_numpy()
+        end = len(pdf)  # of the keys that are whole
+        while end and (k[end - 1], salt[end - 1]) == (k[-1], salt[-1]):
+            end -= 1
+        if held and (k[0], salt[0]) != last:
+            yield _merged(held)
+            held = []
+        if end:
+            yield _merged([*held, pdf.iloc[:end]])
+            held = []
+        held.append(pdf.iloc[end:])
+        last = (k[-1], salt[-1])
+    if held:
+        yield _merged(held)
+
+
+def _merged(states: list[pd.DataFrame]) -> pd.DataFrame:
+    """One state for each run of equal (k, salt)."""
+    pdf = pd.concat(states, ignore_index=True)
+    same = (pdf["k"].isna() & pdf["k"].shift().isna() | (pdf["k"] == pdf["k"].shift())) & (pdf["salt"] == pdf["salt"].shift())
+    same.iloc[0] = False
+    run = (~same).cumsum().to_numpy() - 1
+    n = pdf["starts"].map(len).to_numpy(np.int64)
+    flat = lambda c: np.concatenate([*pdf[c]]).astype(np.int64)
+    out = _states(np.repeat(run, n), flat("starts"), flat("ends"))
+    first = np.flatnonzero(~same.to_numpy())[out["k"].to_numpy(np.int64)]
+    return pd.DataFrame({"k": pdf["k"].to_numpy(dtype=object)[first], "salt": pdf["salt"].to_numpy()[first], "starts": out["starts"], "ends": out["ends"]})
 
 
 def interval_states(df: DataFrame, key: str, start: str | F.Column, end: str | F.Column, fan_in: int = 16) -> DataFrame:
     """(key, starts, ends): the disjoint periods of each entity as two lists.
 
     Rows without either end, with a negative start or with end <= start are no ranges and count for nothing. A null key is
-    an entity of its own. Repeated rows change nothing. An empty input gives no rows. Positions are BIGINT. ``fan_in`` is
-    the number of intermediate groups in which an entity's partial states are merged before the last merge.
+    an entity of its own. Repeated rows change nothing. An empty input gives no rows. Positions are BIGINT. A merge takes the
+    states of at most ``fan_in`` partitions of an entity; the partial states of all partitions are written to the shared folder, which
+    tells how many there are.
     """
     kind = df.schema[key].dataType
     s, e = (F.col(c) if isinstance(c, str) else c for c in (start, end))
     rows = df.select(F.col(key).cast("string").alias("k"), s.cast("bigint").alias("s"), e.cast("bigint").alias("e")).where("s >= 0 and e > s")
-    part = rows.mapInPandas(_reduce_rows, _STATE).withColumn("salt", F.spark_partition_id() % fan_in)
-    for by in (["k", "salt"], ["k"]):
-        part = part.groupBy(*by).applyInPandas(_merge, _STATE).withColumn("salt", F.lit(0))
+    part = cut(rows.mapInPandas(_reduce_rows, _STATE).withColumn("salt", F.spark_partition_id()).select("k", "salt", "starts", "ends"))
+    nodes, tasks = part.rdd.getNumPartitions(), task_count(df.sparkSession)
+    while nodes:
+        nodes = -(-nodes // fan_in)
+        part = part.withColumn("salt", F.floor(F.col("salt") / fan_in).cast("int"))
+        part = part.repartition(tasks, "k", "salt").sortWithinPartitions("k", "salt").mapInPandas(_merge_sorted, "k string, salt int, starts array<bigint>, ends array<bigint>")
+        if nodes == 1:
+            break
     return part.select(F.col("k").cast(kind).alias(key), "starts", "ends")
 
 

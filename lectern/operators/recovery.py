@@ -22,11 +22,12 @@ def retry_rows(results: DataFrame, questions: DataFrame, on: str, order: str, st
 def merge_recovered(previous: DataFrame, recovered: DataFrame, key: str, order: str, recovered_order: str) -> DataFrame:
     """``previous`` with every row whose key was recovered replaced, successful ones too; of several recovered rows of one key
     the last counts. Both have the same columns but for the orders; ``was_recovered`` tells which rows are new. Order is that
-    of ``previous``."""
+    of ``previous``. Rows with a null key are kept as they are and take no part in the join."""
     values = [c for c in previous.columns if c not in (key, order)]
     last = recovered.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*values), recovered_order).alias("new_"))
-    old = F.struct(*values)
-    return previous.join(last, key, "left").withColumn("row_", F.coalesce("new_", old)).select(key, order, *(F.col(f"row_.{c}").alias(c) for c in values), F.col("new_").isNotNull().alias("was_recovered"))
+    joined = previous.where(F.col(key).isNotNull()).join(last, key, "left").withColumn("row_", F.coalesce("new_", F.struct(*values)))
+    merged = joined.select(key, order, *(F.col(f"row_.{c}").alias(c) for c in values), F.col("new_").isNotNull().alias("was_recovered"))
+    return merged.unionByName(previous.where(F.col(key).isNull()).select(key, order, *values, F.lit(False).alias("was_recovered")))
 
 
 def recovery_counts(recovered: DataFrame, status: str = "parsing_status") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.plans.session import cut
 from lectern.schema import DEPTH_LABELS
 
 DEPTHS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -13,14 +14,17 @@ DEPTHS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 def numbered(df: DataFrame, order: list[str | Column], name: str = "idx") -> DataFrame:
     """``df`` with 0, 1, 2, ... in the given order, which must be total. Rows are sorted over all tasks by range, each task
-    numbers its own, and the tasks' sizes are added; no task holds more than its range."""
+    numbers its own, and the tasks' sizes are added; no task holds more than its range.
+
+    The sorted rows are written to the shared folder with their task and place, and sizes and rows are both read from there:
+    ranges come from a sample, and two plans of the same sort would draw their borders differently."""
     keys = [f"k{i}_" for i in range(len(order))]
     with_keys = df.withColumns({k: (F.col(o) if isinstance(o, str) else o) for k, o in zip(keys, order)})
-    parts = with_keys.repartitionByRange(*keys).withColumn("part_", F.spark_partition_id())
-    sizes = parts.groupBy("part_").agg(F.count("*").alias("n_"))
+    in_order = with_keys.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at_", F.monotonically_increasing_id()).drop(*keys)
+    rows = cut(in_order.withColumns({"part_": F.shiftright("at_", 33), "local_": F.col("at_").bitwiseAND((1 << 33) - 1)}).drop("at_"))
+    sizes = rows.groupBy("part_").agg(F.count("*").alias("n_"))
     before = sizes.select("part_", F.coalesce(F.sum("n_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
-    local = parts.withColumn("local_", F.row_number().over(W.partitionBy("part_").orderBy(*keys)))
-    return local.join(F.broadcast(before), "part_").withColumn(name, (F.col("before_") + F.col("local_") - 1).cast("bigint")).drop("part_", "before_", "local_", *keys)
+    return rows.join(F.broadcast(before), "part_").withColumn(name, (F.col("before_") + F.col("local_")).cast("bigint")).drop("part_", "before_", "local_")
 
 
 def trend_line(results: DataFrame, run: str, position: str = "start_pos", score: str = "score", tie: str = "idx", window: int = 20, block: int = 50_000) -> DataFrame:
@@ -71,7 +75,7 @@ def schedule(questions: DataFrame, mode: str, lengths: list[int], depth: float |
     raise ValueError(f"no schedule in mode {mode!r}")
 
 
-#: Levels of context length that a plan is made for.
+# Levels of context length that a plan is made for.
 LEVELS = (2_000, 4_000, 8_000, 16_000, 32_000, 64_000, 128_000, 192_000, 256_000, 512_000, 1_000_000, 2_000_000)
 
 

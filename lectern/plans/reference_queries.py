@@ -220,12 +220,13 @@ later AS (SELECT DISTINCT ON (assignment_id) res.* FROM res ANTI JOIN prev USING
 
 
 def _runs(s, d):
+    """First and later results of each assignment; results without one are all first, and no window gathers them."""
     from pyspark.sql import Window as W
 
     r = _results(s, d).select("result_id", "assignment_id", "parsing_status", "score", "tested_at")
     rank = F.row_number().over(W.partitionBy("assignment_id").orderBy("tested_at", "result_id"))
-    r = r.withColumn("n", F.when(F.col("assignment_id").isNull(), 1).otherwise(rank))
-    return r.where("n = 1").drop("n", "tested_at"), r.where("n > 1").drop("n", "tested_at")
+    known = r.where("assignment_id is not null").withColumn("n", rank)
+    return known.where("n = 1").drop("n", "tested_at").unionByName(r.where("assignment_id is null").drop("tested_at")), known.where("n > 1").drop("n", "tested_at")
 
 
 @_q(f""", {_MERGE} SELECT prev.assignment_id, prev.result_id, coalesce(later.parsing_status, prev.parsing_status) AS parsing_status, CASE WHEN later.result_id IS NOT NULL THEN later.score ELSE prev.score END AS score, later.result_id IS NOT NULL AS was_recovered FROM prev LEFT JOIN later ON prev.assignment_id = later.assignment_id""")
@@ -266,14 +267,8 @@ def schedule_fixed(s, d):
     return sequence.schedule(sequence.numbered(_questions(s, d).select("q_id"), ["q_id"]), "fixed", LENGTHS, 0.4)
 
 
-@_q("SELECT novel_id, level, range_start, CAST(questions AS BIGINT) AS questions, CAST(sum(questions) OVER (PARTITION BY novel_id ORDER BY level) AS BIGINT) AS running_total FROM (SELECT novel_id, level, range_start, CASE WHEN level > total_tokens THEN 0 ELSE greatest(5, ((level - range_start) // 10000) * 5) END AS questions FROM novels, (SELECT level, coalesce(lag(level) OVER (ORDER BY level), 0) AS range_start FROM (SELECT unnest([8000, 16000, 32000, 64000, 128000, 200000, 256000, 512000, 1000000]) AS level)) WHERE total_tokens IS NOT NULL)", raw=True)
-def level_plan(s, d):
-    """The nine levels of its SQL; :func:`level_plan_all` has all."""
-    return sequence.level_plan(s, table(s, d, "novels"), (8_000, 16_000, 32_000, 64_000, 128_000, 200_000, 256_000, 512_000, 1_000_000))
-
-
 @_q("SELECT novel_id, level, range_start, CAST(questions AS BIGINT) AS questions, CAST(sum(questions) OVER (PARTITION BY novel_id ORDER BY level) AS BIGINT) AS running_total FROM (SELECT novel_id, level, range_start, CASE WHEN level > total_tokens THEN 0 ELSE greatest(5, ((level - range_start) // 10000) * 5) END AS questions FROM novels, (SELECT level, coalesce(lag(level) OVER (ORDER BY level), 0) AS range_start FROM (SELECT unnest([2000, 4000, 8000, 16000, 32000, 64000, 128000, 192000, 256000, 512000, 1000000, 2000000]) AS level)) WHERE total_tokens IS NOT NULL)", raw=True)
-def level_plan_all(s, d):
+def level_plan(s, d):
     return sequence.level_plan(s, table(s, d, "novels"))
 
 

@@ -82,8 +82,12 @@ def send_file(spark: SparkSession, path: str):
     return local
 
 
+def task_count(spark: SparkSession) -> int:
+    """As many tasks as the session shuffles to, and no fewer than it has cores."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over as many tasks as the session shuffles to: for steps in Python after a small shuffle, which would otherwise
-    follow the number of bytes and leave cores idle."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    """Rows over :func:`task_count` tasks: for steps in Python after a small shuffle, which would otherwise follow the number of
+    bytes and leave cores idle."""
+    return df.repartition(task_count(df.sparkSession))

@@ -104,6 +104,8 @@ def test_answers_of_replies(reply, want):
 
 def test_objects_of_replies():
     assert json.loads(replies.read_object('text ```json\n{"a": {"b": 1}}\n``` more')) == {"a": {"b": 1}}
+    assert replies.fenced_object('```\n{"a": "x ``` y"}\n```') == '{"a": "x ``` y"}' and replies.fenced_object("```{1} z```{2}") is None
+    assert replies.fenced_object("``` no ``` {3}\n```json{4} ```") == "{3}" and replies.fenced_object("{5}") is None
     assert json.loads(replies.read_object('before {"a": "}"} after {"b": 2}')) == {"a": "}"}
     assert replies.read_object("[1]") is None and replies.read_object(None) is None and replies.read_object("{") is None
     assert replies.answer_values("a, b,") == ["a", "b"] and replies.answer_values([" a", None]) == ["a"] and replies.answer_values(3) == ["3"]

@@ -179,3 +179,45 @@ def test_level_plan_has_every_level(spark):
     assert [r.running_total for r in rows if r.novel_id == 2] == [5, 10, 15, 20, 25, 40, 70, 100, 100, 100, 100, 100]
     assert len(rows) == 24
     assert sequence.level_plan(spark, novels, per_10k=10).where("novel_id = 1 and level = 2000000").first().questions == 1000
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_numbers_of_many_wide_rows(spark, coalesce):
+    """Ranges of the rows and of the counts are the same, whatever the engine does with small partitions."""
+    from lectern.operators.sequence import numbered
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        rows = spark.range(1_000_000).selectExpr("id", "cast(reverse(cast(id as string)) as bigint) as k", "repeat(cast(id as string), 12) as wide")
+        got = numbered(rows, ["k", "id"])
+        c = got.selectExpr("count(*) as n", "count(distinct idx) as d", "min(idx) as a", "max(idx) as b", "count_if(length(wide) < 12) as short").first()
+        assert tuple(c) == (1_000_000, 1_000_000, 0, 999_999, 0)
+        w = got.where("idx < 3 or idx > 999996").orderBy("idx").collect()
+        keys = sorted((int(str(i)[::-1]), i) for i in range(1_000_000))
+        assert [(r["k"], r["id"]) for r in w] == keys[:3] + keys[-3:]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_trend_keeps_every_row(spark):
+    from lectern.operators.sequence import trend_line
+
+    rows = spark.range(60_000).selectExpr("'r' as run", "id as idx", "id * 7919 % 50000 as start_pos", "cast(id % 3 as double) as score")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        assert trend_line(rows, "run", block=1000).select("idx").distinct().count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_results_without_a_key_are_kept(spark):
+    from lectern.operators.recovery import merge_recovered
+
+    prev = spark.createDataFrame([(None, k, "error") for k in range(50)] + [(1, 50, "error"), (2, 51, "ok")], "k bigint, o bigint, status string")
+    new = spark.createDataFrame([(1, 1, "ok"), (None, 2, "ok")], "k bigint, o bigint, status string")
+    got = {r["o"]: (r["k"], r["status"], r["was_recovered"]) for r in merge_recovered(prev, new, "k", "o", "o").collect()}
+    assert len(got) == 52 and got[50] == (1, "ok", True) and got[51] == (2, "ok", False) and got[7] == (None, "error", False)
