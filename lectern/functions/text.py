@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Han characters, for a character class.
+HAN = "㐀-䶿一-鿿豈-﫿"
 SENTENCE_END = r"[.!?]\s"
 PARAGRAPH_END = r"\n\n"
 
