@@ -44,6 +44,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.group_pairs(p2_groups(spark, d), "q_id")
 
 
+def p2_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """The group of each question by its runs of five words, weighted by how often they occur."""
+    return near_copies.near_copy_groups(table(spark, d, "questions"), "q_id", _question_text(), elements=near_copies.shingle_counts, weighted=True)
+
+
 # 4: samples by quota
 
 
@@ -134,7 +139,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p1_found, p1_one_form, p2_found, p2_groups, p4_found, p4_report, p4_sample, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_subjects, p8_composition)
+    own = (p1_found, p1_one_form, p2_found, p2_groups, p2_weighted, p4_found, p4_report, p4_sample, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_subjects, p8_composition)
     return {f.__name__: f for f in own}
 
 
