@@ -3,11 +3,12 @@
 Sentences are embedded by weighted terms and a truncated singular value decomposition. A term's weight is its inverse
 frequency by sentence over the whole corpus times how far the labels of the documents it occurs in stray from the labels at
 large, so that names and phrases of every kind of document weigh little. Centroids seeded in the sentences of each label
-are refined by cosine similarity (spherical k-means); a centroid stands for a subject when far more of its sentences than
-usual come from documents labelled with it, and for none otherwise, which is where figures of speech gather. A sentence takes the subject
-of its nearest centroid, a document the subjects of at least a quarter of its sentences.
+are refined by cosine similarity (spherical k-means) over labelled and unlabelled sentences, so that words no labelled document
+holds stand beside those they occur with. A centroid stands for a subject when the labels of the documents behind it are far
+better explained by the subject than by the labels at large, and for none otherwise, which is where figures of speech gather.
+A sentence takes the subject of its nearest centroid, a document the subjects of at least a quarter of its sentences.
 
-The model is fitted on a bounded sample of labelled documents; frequencies and assignments cover every document.
+The model is fitted on a bounded sample of sentences; frequencies and assignments cover every document.
 """
 
 from __future__ import annotations
@@ -21,23 +22,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import HAN
 from lectern.llm.one_form import shape
 from lectern.plans.session import cut
 
-_HAN = "㐀-䶿一-鿿豈-﫿"
-_TOKENS = re.compile(f"[{_HAN}]+|[^\\W\\d_{_HAN}]+|[.!?。¶]")
+_TOKENS = re.compile(f"[{HAN}]+|[^\\W\\d_{HAN}]+|[.!?。¶]")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _ENDS = frozenset(".!?。¶")
 
-#: Labelled documents and sentences of them that the model is fitted on, at most.
+#: Labelled documents that the model is fitted on, and sentences of them, at most.
 LABEL_DOCS, LABEL_SENTENCES = 3_000, 60_000
+#: Other documents and sentences of them, which have a part in the embedding and the centroids, at most.
+OTHER_DOCS, OTHER_SENTENCES = 2_500, 40_000
+#: Terms of a sentence in the sample; a longer one counts as several. With the numbers above this bounds what the driver collects.
+SENTENCE_TERMS = 200
 MAX_SUBJECTS = 1_000
-DIMENSIONS, CENTROIDS, ROUNDS = 64, 400, 12
-#: Sentences with fewer terms (headings, numbers) do not count.
-LEAST_TERMS = 3
+DIMENSIONS, CENTROIDS, ROUNDS = 64, 1_000, 8
+#: Sentences of the sample for each centroid, at least.
+CENTROID_SENTENCES = 25
+#: Sentences with fewer terms (headings, numbers) do not count; terms that occur less often in the corpus weigh nothing.
+LEAST_TERMS, LEAST_FREQUENCY = 3, 5
 SHARE = 0.25
-#: Share of a centroid's sentences from documents of a subject, between what is usual (0) and all (1), from which it stands for it.
-BEYOND_CHANCE = 0.4
+#: Documents that a centroid about a subject holds without its label, as some sentences stray and a few labels are wrong.
+STRANGE = 0.1
+#: Cosine similarity of centroids from which one's evidence counts for the other.
+ALIKE = 0.6
+#: Log of the odds, for a subject beside none, from which a centroid stands for it.
+EVIDENCE = 2.0
 
 
 class _Ids(dict):
@@ -46,7 +57,7 @@ class _Ids(dict):
     def __missing__(self, w: str):
         if w in _ENDS:
             x = 0
-        elif re.match(f"[{_HAN}]", w):
+        elif re.match(f"[{HAN}]", w):
             return [self._of(w[i : i + 2]) for i in range(len(w) - 1)]
         else:
             x = self._of(w)
@@ -103,6 +114,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
+def _nearest(e: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The row of ``c`` that is most like each row of ``e``."""
+    return np.concatenate([(e[a : a + 4096] @ c.T).argmax(1) for a in range(0, len(e), 4096)] or [np.empty(0, np.int64)])
+
+
 def _sums(cuts: np.ndarray, index: np.ndarray, value: np.ndarray | None, m: np.ndarray) -> np.ndarray:
     """For each stretch of ``index`` the sum of the rows of ``m`` it names, times ``value``."""
     out = np.zeros((len(cuts) - 1, m.shape[1]), np.float32)
@@ -116,33 +132,60 @@ def _sums(cuts: np.ndarray, index: np.ndarray, value: np.ndarray | None, m: np.n
     return out
 
 
+def _turns(kind: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Places such that the kinds take turns, in random order within each."""
+    turn = rng.permutation(len(kind))
+    order = np.lexsort((turn, kind))
+    place = np.empty(len(kind), np.int64)
+    place[order] = np.arange(len(kind)) - np.searchsorted(kind[order], kind[order])
+    return np.lexsort((turn, place))
+
+
+def _evidence(near: np.ndarray, of: np.ndarray, has: np.ndarray, centroids: int) -> np.ndarray:
+    """(centroid, subject): the log of how much better a centroid about the subject explains the labels of the documents behind
+    it than one about nothing. ``near`` and ``of`` have the centroid and the document of each labelled sentence, ``has``
+    (document, subject) the labels. A document counts once for each centroid, as its sentences share their label."""
+    usual = has[of].mean(0).clip(1e-3, 1 - 1e-3)
+    pair = np.unique(near * len(has) + of)
+    c, d = pair // len(has), pair % len(has)
+    with_it = np.zeros((centroids, has.shape[1]))
+    np.add.at(with_it, c, has[d])
+    without = np.bincount(c, minlength=centroids)[:, None] - with_it
+    return with_it * np.log((1 - STRANGE) / usual) + without * np.log(STRANGE / (1 - usual))
+
+
+def _pooled(c: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """Evidence of each centroid with that of others of a similar direction, less the more they differ."""
+    out = np.empty_like(evidence)
+    for a in range(0, len(c), 512):
+        out[a : a + 512] = ((c[a : a + 512] @ c.T - ALIKE) / (1 - ALIKE)).clip(0, 1) @ evidence
+    return out
+
+
 class SubjectModel:
     """Term vectors, centroids and their subjects."""
 
-    def __init__(self, docs: list[np.ndarray], labels: list[frozenset], terms: np.ndarray, frequency: np.ndarray, sentences: int, subjects: list[str], seed: int = 0):
-        """``terms`` (sorted) with the number of times the corpus holds them, in ``sentences`` sentences."""
+    def __init__(self, sentences: list[np.ndarray], of: np.ndarray, labels: list[frozenset | None], terms: np.ndarray, frequency: np.ndarray, total: int, subjects: list[str], seed: int = 0):
+        """``sentences`` as term numbers, with the document of each in ``of`` and each document's labels (None: not labelled);
+        ``terms`` (sorted) with the number of times the corpus holds them, in ``total`` sentences."""
         rng = np.random.default_rng(seed)
         self.subjects, self.terms = subjects, terms
-        cols, rows, of, n = [], [], [], 0
-        for d, t in enumerate(docs):
-            here, s = _sentences(t)
-            if len(here) and n < LABEL_SENTENCES:
-                cols.append(np.searchsorted(terms, t[here]))
-                rows.append(s + n)
-                of += [d] * (int(s.max()) + 1)
-                n += int(s.max()) + 1
         self.vectors, self.centroids, self.meaning = np.zeros((len(terms), 1), np.float32), np.zeros((1, 1), np.float32), np.array([-1])
-        if not n or not subjects:
+        n, k = len(sentences), len(subjects)
+        known = np.array([x is not None for x in labels], bool)
+        if not n or not k or not known[of].any():
             return
-        cols, rows, of = np.concatenate(cols), np.concatenate(rows), np.array(of)
-        kinds = {frozenset([s]): k for k, s in enumerate(subjects)} | {frozenset(): len(subjects)}
-        kind = np.array([kinds.get(labels[d], len(subjects) + 1) for d in of])
-        base = (np.bincount(kind, minlength=len(subjects) + 2) + 1e-3) / n
-        seen = np.zeros((len(terms), len(base)))
-        np.add.at(seen, (cols, kind[rows]), 1)
+        rows = np.repeat(np.arange(n), [len(x) for x in sentences])
+        cols = np.searchsorted(terms, np.concatenate(sentences))
+        kinds = {frozenset([s]): i for i, s in enumerate(subjects)} | {frozenset(): k}
+        kind = np.array([-1 if x is None else kinds.get(x, k + 1) for x in labels])[of]
+        base = (np.bincount(kind[kind >= 0], minlength=k + 2) + 1e-3) / (kind >= 0).sum()
+        seen = np.zeros((len(terms), k + 2))
+        labelled = kind[rows] >= 0
+        np.add.at(seen, (cols[labelled], kind[rows[labelled]]), 1)
         p = (seen + 10 * base) / (seen.sum(1, keepdims=True) + 10)
         stray = (p * np.log(p / base)).sum(1)
-        weight = (np.log(np.maximum(sentences, 1) / np.maximum(frequency, 1)).clip(0) * (stray + 0.2) * (frequency >= min(5, 1 + sentences // 1000))).astype(np.float32)
+        weight = (np.log(np.maximum(total, 1) / np.maximum(frequency, 1)).clip(0) * (stray + 0.2) * (frequency >= LEAST_FREQUENCY)).astype(np.float32)
         cuts = np.searchsorted(rows, np.arange(n + 1))
         value = weight[cols]
         value /= np.maximum(np.sqrt(np.bincount(rows, value * value, minlength=n)), 1e-9)[rows].astype(np.float32)
@@ -156,29 +199,18 @@ class SubjectModel:
         _, u = np.linalg.eigh((q.T @ again(q)).astype(np.float64))
         self.vectors = (q @ u[:, ::-1][:, : min(DIMENSIONS, wide)].astype(np.float32)) * weight[:, None]
         e = _unit(_sums(cuts, cols, None, self.vectors))
-        # seeds: sentences of each label in turn, then refined
-        turn = np.argsort(rng.permutation(n))
-        order = np.lexsort((turn, kind))
-        place = np.empty(n, np.int64)
-        first = np.searchsorted(kind[order], np.arange(len(base)))
-        place[order] = np.arange(n) - first[kind[order]]
-        seeds = np.lexsort((turn, place))[: max(1, min(CENTROIDS, n // 8))]
-        c = e[seeds]
+        c = e[_turns(kind, rng)[: max(1, min(CENTROIDS, n // CENTROID_SENTENCES))]]
         for _ in range(ROUNDS):
-            near = (e @ c.T).argmax(1)
+            near = _nearest(e, c)
             o = np.argsort(near, kind="stable")
             at = np.searchsorted(near[o], np.arange(len(c) + 1))
-            new = _sums(at, o, None, e)
-            c = np.where((at[1:] > at[:-1])[:, None], _unit(new), c)
-        near = (e @ c.T).argmax(1)
-        has = np.array([[s in labels[d] for s in subjects] for d in of], float)
-        votes = np.zeros((len(c), len(subjects)))
-        np.add.at(votes, near, has)
-        votes /= np.maximum(np.bincount(near, minlength=len(c)), 1)[:, None]
-        usual = has.mean(0)
-        beyond = (votes - usual) / np.maximum(1 - usual, 1e-9)
+            c = np.where((at[1:] > at[:-1])[:, None], _unit(_sums(at, o, None, e)), c)
+        has = np.array([[x is not None and s in x for s in subjects] for x in labels], float)
+        told = np.flatnonzero(kind >= 0)
+        own = _evidence(_nearest(e, c)[told], of[told], has, len(c))
+        evidence = np.where((np.abs(own.max(1)) >= EVIDENCE)[:, None], own, _pooled(c, own))
         self.centroids = c
-        self.meaning = np.where(beyond.max(1) >= BEYOND_CHANCE, beyond.argmax(1), -1)
+        self.meaning = np.where(evidence.max(1) >= EVIDENCE, evidence.argmax(1), -1)
 
     def assign(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sentence number of each counted term's sentence once, subject number of it or -1) for a stretch of terms."""
@@ -191,11 +223,7 @@ class SubjectModel:
         at = np.searchsorted(self.terms, t).clip(max=max(0, len(self.terms) - 1))
         known = self.terms[at] == t if len(self.terms) else np.zeros(len(t), bool)
         e = _sums(np.searchsorted(sentence[known], np.arange(n + 1)), at[known], None, self.vectors)
-        out = np.empty(n, np.int64)
-        for a in range(0, n, 8192):
-            part = e[a : a + 8192]
-            out[a : a + 8192] = np.where(np.abs(part).sum(1) > 0, self.meaning[(part @ self.centroids.T).argmax(1)], -1)
-        return here[first], out
+        return here[first], np.where(np.abs(e).sum(1) > 0, self.meaning[_nearest(e, self.centroids)], -1)
 
 
 def _assign(model: SubjectModel):
@@ -216,28 +244,57 @@ def _assign(model: SubjectModel):
     return run
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_docs: int = LABEL_DOCS, seed: int = 0) -> DataFrame:
+def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sentences that count, in stretches of at most SENTENCE_TERMS."""
+    for pdf in batches:
+        ids, places, out = [], [], []
+        for i, t in zip(pdf["doc_id"], pdf["terms"]):
+            t = np.asarray(t, np.int32)
+            here, s = _sentences(t)
+            at = np.searchsorted(s, np.arange(int(s[-1]) + 2)) if len(s) else np.zeros(1, np.int64)
+            for a, b in zip(at[:-1], at[1:]):
+                for x in range(a, b, SENTENCE_TERMS):
+                    ids.append(i), places.append(x), out.append(t[here[x : min(b, x + SENTENCE_TERMS)]])
+        if ids:
+            yield pd.DataFrame({"doc_id": ids, "place": places, "sentence": out})
+
+
+def _sampled(feats: DataFrame, chosen: DataFrame, most: int, seed: int) -> list:
+    """(doc_id, place, sentence) of at most ``most`` sentences of the chosen documents, by a hash; cut and drawn by the executors."""
+    own = feats.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("doc_id", "terms").mapInPandas(_sample, "doc_id bigint, place bigint, sentence array<int>")
+    return sorted(own.orderBy(F.xxhash64(F.lit(seed), "doc_id", "place"), "doc_id", "place").limit(most).collect(), key=lambda r: (r["doc_id"], r["place"]))
+
+
+def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_docs: int = LABEL_DOCS, label_sentences: int = LABEL_SENTENCES, other_docs: int = OTHER_DOCS, other_sentences: int = OTHER_SENTENCES, seed: int = 0) -> DataFrame:
     """(doc_id, subject, sentences, of): for each document and subject that any of its sentences is about, how many are, and
     of how many sentences. Documents without such a sentence (null and empty texts too) do not appear.
 
     ``labels`` has doc_id and subject, null for none; repeated labels count once, labels of unknown subjects are ignored.
-    The model is fitted on at most ``label_docs`` labelled documents, chosen by a hash of their id. Ids are unique; a
-    repeated id counts as one more document. Without labels nothing is about anything.
+    The model is fitted on at most ``label_sentences`` sentences of ``label_docs`` labelled documents and ``other_sentences`` of
+    ``other_docs`` others, chosen by hashes. Ids are unique; a repeated id counts as one more document. Without labels nothing
+    is about anything. More than MAX_SUBJECTS subjects are an error.
     """
+    spark = docs.sparkSession
     names = sorted(r["subject"] for r in subjects.where("subject is not null").select("subject").distinct().limit(MAX_SUBJECTS + 1).collect())
     if len(names) > MAX_SUBJECTS:
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     made = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null").mapInPandas(_features, "doc_id bigint, terms array<int>, counts array<bigint>"))
     feats = made.where("doc_id is not null").select("doc_id", "terms")
-    chosen = labels.where(F.col("doc_id").isNotNull() & (F.col("subject").isNull() | F.col("subject").isin(names))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(label_docs)
-    sample = sorted(((r["doc_id"], np.array(r["terms"], np.int32), frozenset(r["subjects"])) for r in feats.join(F.broadcast(chosen), "doc_id").collect()), key=lambda r: r[0])
-    terms = np.unique(np.concatenate([r[1] for r in sample] + [np.zeros(1, np.int32)]))
-    terms = terms[terms > 0].astype(np.int64)
-    wanted = docs.sparkSession.createDataFrame(pd.DataFrame({"term": np.append(terms, 0).astype(np.int32)}), "term int")
+    by_hash = lambda df, n: df.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
+    told = labels.where(F.col("doc_id").isNotNull() & (F.col("subject").isNull() | F.col("subject").isin(names))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.collect_set("subject").alias("subjects"))
+    chosen = by_hash(told, label_docs).collect()
+    first = spark.createDataFrame([(r["doc_id"],) for r in chosen], "doc_id bigint")
+    others = by_hash(feats.select("doc_id").join(told, "doc_id", "left_anti"), other_docs)
+    label_of = {r["doc_id"]: frozenset(r["subjects"]) for r in chosen}
+    rows = _sampled(feats, first, label_sentences, seed) + _sampled(feats, others, other_sentences, seed)
+    place = {i: k for k, i in enumerate(dict.fromkeys(r["doc_id"] for r in rows))}
+    sentences = [np.array(r["sentence"], np.int64) for r in rows]
+    terms = np.unique(np.concatenate([*sentences, np.empty(0, np.int64)]))
+    wanted = spark.createDataFrame(pd.DataFrame({"term": np.append(terms, 0).astype(np.int32)}), "term int")
     partial = made.where("doc_id is null").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
     got = {r["term"]: r["n"] for r in partial.join(F.broadcast(wanted), "term").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    model = SubjectModel([r[1] for r in sample], [r[2] for r in sample], terms, np.array([got.get(int(t), 0) for t in terms], float), int(got.get(0, 0)), names, seed)
-    ready = docs.sparkSession.sparkContext.broadcast(model)
+    model = SubjectModel(sentences, np.array([place[r["doc_id"]] for r in rows], np.int64), [label_of.get(i) for i in place], terms, np.array([got.get(int(t), 0) for t in terms], float), int(got.get(0, 0)), names, seed)
+    ready = spark.sparkContext.broadcast(model)
     return feats.mapInPandas(lambda it, b=ready: _assign(b.value)(it), "doc_id bigint, subject string, sentences bigint, of bigint")
 
 

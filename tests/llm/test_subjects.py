@@ -45,7 +45,7 @@ def test_subjects_of_unlabelled_documents(corpus):
     for r in document_subjects(docs, labels, areas).collect():
         got.setdefault(r["doc_id"], set()).add(r["subject"])
     wrong = [i for i in range(1, 240, 2) if got.get(i, set()) != truth[i]]
-    assert len(wrong) <= 18 and "law" in got[903] and not {900, 901, 902} & set(got)
+    assert len(wrong) <= 4 and got[903] == {"law"} and not {900, 901, 902, 904} & set(got)
     again = document_subjects(docs.repartition(3), labels, areas)
     assert {(r["doc_id"], r["subject"]) for r in again.collect()} == {(i, s) for i, v in got.items() for s in v}
 
@@ -67,7 +67,7 @@ def test_held_out_labels(spark):
     want = held.where("subject is not null").select("doc_id", "subject").distinct()
     found = found.join(held.select("doc_id").distinct(), "doc_id", "left_semi")
     hit, n, m = found.intersect(want).count(), want.count(), found.count()
-    assert hit / n > 0.85 and hit / m > 0.9  # some 500 labelled documents are left to learn from
+    assert hit / n > 0.9 and hit / m > 0.9  # some 500 labelled documents are left to learn from
 
 
 def test_too_many_subjects(spark):
