@@ -7,6 +7,9 @@ searched backward at once, their places are located from the samples, and runs o
 bounded number of changed, missing and added words; a stretch begins and ends with an equal word, so that a shorter
 quotation never counts as a longer one with its end left out. Spans that meet are merged for removal.
 
+Hits are taken in slices of bounded size. A phrase that occurs often in both the items and the shard (a stock phrase) is only
+followed in item texts that hold several of them: elsewhere each case has a run with a phrase of its own, which finds it.
+
 A stretch of n >= 24 words with at most n/9 edits holds a run of at least 6 words without an edit, and a Chinese stretch of
 n >= 36 a run of at least 7, so phrases of these lengths miss nothing.
 """
@@ -15,17 +18,22 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import HAN
+from lectern.llm import one_form
 from lectern.llm.one_form import shape
 
-_HAN = "㐀-䶿一-鿿豈-﫿"
-_WORDS = re.compile(f"[{_HAN}]|[^\\W_{_HAN}]+")
+_WORDS = re.compile(f"[{HAN}]|[^\\W_{HAN}]+")
+_SPELLED = re.compile(f"[^\\W_{HAN}]")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _SPLIT_WORD = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 
@@ -34,8 +42,12 @@ MIN_HAN, PHRASE_HAN = 36, 7
 ONE_IN = 9
 SHARD_WORDS = 2_000_000
 SAMPLE = 4
-#: Test items that one pass takes; more are taken in several passes.
-ITEMS_PER_PASS = 20_000
+#: Test items that one pass takes, and characters of them; more are taken in several passes.
+ITEMS_PER_PASS, CHARACTERS_PER_PASS = 20_000, 20_000_000
+#: Pairs of a place in a shard and a place in the items that are held at once.
+SLICE_PAIRS = 2_000_000
+#: Such pairs of one phrase in one shard from which it is a stock phrase.
+STOCK_PAIRS = 50_000
 
 
 def words(text: str | None) -> list[str]:
@@ -51,6 +63,74 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall(shape(text).lower())
 
 
+_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+_BLOCK_TAG = re.compile(r"<(?=br|p|/p)")
+_ASCII_RUNS = re.compile(r"[\x00-\x7f]+|[^\x00-\x7f]+")
+_CLUSTER = regex.compile(r"\X")
+
+
+class _Traced:
+    """A text with the place in the original of each of its characters, kept through changes."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end = text, np.arange(len(text)), np.arange(1, len(text) + 1)
+
+    def replace(self, spans, new) -> None:
+        """``spans`` in order, as (start, end), become what ``new`` makes of their text."""
+        out, start, end, at = [], [], [], 0
+        for a, b in spans:
+            x = new(self.text[a:b])
+            out += [self.text[at:a], x]
+            start += [self.start[at:a], np.full(len(x), self.start[a])]
+            end += [self.end[at:a], np.full(len(x), self.end[b - 1])]
+            at = b
+        if at:
+            self.text = "".join([*out, self.text[at:]])
+            self.start, self.end = np.concatenate([*start, self.start[at:]]), np.concatenate([*end, self.end[at:]])
+
+    def clusters(self, new) -> None:
+        """Each character with the marks on it becomes what ``new`` makes of it; ASCII text stays."""
+        spans = []
+        for m in _ASCII_RUNS.finditer(self.text):
+            if m[0][0] > "\x7f":
+                a = max(0, m.start() - 1)
+                spans += [(a + c.start(), a + c.end()) for c in _CLUSTER.finditer(self.text[a : m.end()])]
+        self.replace([(a, b) for a, b in spans if new(self.text[a:b]) != self.text[a:b]], new)
+
+
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the :func:`words` of a text begins and ends in it, in characters."""
+    t = _Traced(text)
+    spans = lambda pattern: [m.span() for m in pattern.finditer(t.text)]
+    if "<" in text:
+        t.replace(spans(_BLOCK_TAG), lambda x: " " + x)
+        t.replace(spans(_TAG), lambda x: "")
+    if "&" in text:
+        t.replace(spans(_ENTITY), html.unescape)
+    if "-\n" in text or "-\r" in text:
+        t.replace(spans(_SPLIT_WORD), lambda x: "")
+    if not t.text.isascii():
+        nfkc, nfc, nfd = (lambda x, f=f: unicodedata.normalize(f, x) for f in ("NFKC", "NFC", "NFD"))
+        t.clusters(nfkc)
+        t.replace([(k, k + 1) for k, c in enumerate(t.text) if c.translate(one_form.DELETE) == ""], lambda x: "")
+        t.clusters(lambda x: nfkc(x))
+        t.clusters(lambda x: nfc(nfd(x).translate(one_form.SHAPES)))
+    t.replace([(k, k + 1) for k, c in enumerate(t.text) if c.lower() != c], str.lower)
+    found = list(_WORDS.finditer(t.text))
+    start, end = t.start[[m.start() for m in found]], t.end[[m.end() - 1 for m in found]]
+    own, want = [m[0] for m in found], words(text)
+    if own == want:
+        return start, end
+    # text whose parts change one another: words between those that agree share their range
+    start2, end2 = np.empty(len(want), np.int64), np.empty(len(want), np.int64)
+    for _, a, b, x, y in SequenceMatcher(None, own, want, autojunk=False).get_opcodes():
+        for k in range(x, y):
+            same = b - a == y - x
+            start2[k] = start[a + k - x] if same else start[a] if a < b else end[a - 1] if a else 0
+            end2[k] = end[a + k - x] if same else end[b - 1] if a < b else start2[k]
+    return start2, end2
+
+
 def suffix_order(seq: np.ndarray) -> np.ndarray:
     """The suffix array of ``seq``; each 0 counts as a separator smaller than any word and than the separators after it. The
     last element must be 0."""
@@ -186,11 +266,11 @@ class TestMaterial:
         self.start, self.length = np.array(starts, np.int64), np.array(lengths, np.int64)
         is_han = np.zeros(len(self.vocabulary) + 1, bool)
         for w, i in self.vocabulary.items():
-            is_han[i] = bool(re.match(f"[{_HAN}]", w))
+            is_han[i] = bool(re.match(f"[{HAN}]", w))
         han = np.array([is_han[self.seq[s : s + n]].mean() > 0.5 for s, n in zip(self.start, self.length)], bool)
         self.least = np.where(han, MIN_HAN, MIN_WORDS)
         phrase = np.where(han, PHRASE_HAN, PHRASE)
-        self.phrases = []  # (distinct phrases, their number for each window, windows' places, windows' units)
+        self.phrases = []  # (words in a phrase, distinct phrases, and of each window its phrase, place and unit)
         for size in sorted({PHRASE, PHRASE_HAN}):
             at, unit = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for u in np.flatnonzero((phrase == size) & (self.length >= self.least)):
@@ -199,8 +279,7 @@ class TestMaterial:
             at, unit = np.concatenate(at), np.concatenate(unit)
             if len(at):
                 distinct, number = np.unique(self.seq[at[:, None] + np.arange(size)], axis=0, return_inverse=True)
-                by = np.argsort(number, kind="stable")
-                self.phrases.append((size, distinct, np.searchsorted(number[by], np.arange(len(distinct) + 1)), at[by], unit[by]))
+                self.phrases.append((size, distinct, number.reshape(-1), at, unit))
 
 
 def _spread(counts: np.ndarray) -> np.ndarray:
@@ -208,32 +287,37 @@ def _spread(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def exact_runs(index: FMIndex, test: TestMaterial) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of equal words: unit, place in the test material, place in the shard, length."""
-    units, tests, docs, sizes = [], [], [], []
-    for size, distinct, cuts, at, unit in test.phrases:
+def whole_phrases(size: int, least: int) -> int:
+    """Phrases of ``size`` words that at least stay whole in a stretch of at least ``least`` words, at most one in ONE_IN of
+    them edited: an edit spoils no more than ``size`` of them, and the longest stretches keep the most."""
+    return min(n - size + 1 - size * (n // ONE_IN) for n in range(least, least + 10 * ONE_IN))
+
+
+def exact_runs(index: FMIndex, test: TestMaterial, stock_pairs: int = STOCK_PAIRS, slice_pairs: int = SLICE_PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of equal words in slices: unit, place in the test material, place in the shard, length. A run may go on in the
+    next slice, and one that holds a stock phrase may be shorter than it could be."""
+    for size, distinct, number, at, unit in test.phrases:
         lo, hi = index.search(distinct)
         n = hi - lo
         hit = np.flatnonzero(n)
         if not len(hit):
             continue
-        n = n[hit]
-        phrase = np.repeat(hit, n)
-        where = index.locate(np.repeat(lo[hit], n) + _spread(n))
-        windows = cuts[phrase + 1] - cuts[phrase]
-        w = np.repeat(cuts[phrase], windows) + _spread(windows)
-        t, u, d = at[w], unit[w], np.repeat(where, windows)
-        by = np.lexsort((t, d - t, u))
-        t, u, d = t[by], u[by], d[by]
-        new = np.concatenate(([True], (u[1:] != u[:-1]) | ((d - t)[1:] != (d - t)[:-1]) | (t[1:] != t[:-1] + 1)))
-        first = np.flatnonzero(new)
-        units.append(u[first])
-        tests.append(t[first])
-        docs.append(d[first])
-        sizes.append(np.diff(np.append(first, len(t))) + size - 1)
-    if not units:
-        return (np.empty(0, np.int64),) * 4
-    return tuple(map(np.concatenate, (units, tests, docs, sizes)))
+        where = index.locate(np.repeat(lo[hit], n[hit]) + _spread(n[hit]))
+        first = np.cumsum(n) - n
+        stock = n * np.bincount(number, minlength=len(n)) > stock_pairs
+        several = np.bincount(unit, stock[number], minlength=len(test.item)) >= whole_phrases(size, MIN_WORDS if size == PHRASE else MIN_HAN)
+        windows = np.flatnonzero((n[number] > 0) & (~stock[number] | several[unit]))
+        pairs = n[number[windows]]
+        for part in np.split(windows, np.flatnonzero(np.diff((np.cumsum(pairs) - pairs) // slice_pairs)) + 1):
+            m = n[number[part]]
+            t, u = np.repeat(at[part], m), np.repeat(unit[part], m)
+            d = where[np.repeat(first[number[part]], m) + _spread(m)]
+            if not len(t):
+                continue
+            by = np.lexsort((t, d - t, u))
+            t, u, d = t[by], u[by], d[by]
+            begins = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | ((d - t)[1:] != (d - t)[:-1]) | (t[1:] != t[:-1] + 1))))
+            yield u[begins], t[begins], d[begins], np.diff(np.append(begins, len(t))) + size - 1
 
 
 def promising(test: TestMaterial, seq: np.ndarray, u: np.ndarray, t: np.ndarray, d: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -308,20 +392,22 @@ def extended(test: TestMaterial, seq: np.ndarray, u: int, t: int, d: int, n: int
     return best
 
 
-def search_shard(test: TestMaterial, ids: list, lengths: list[int], seq: np.ndarray) -> pd.DataFrame:
-    """Cases of one shard: a row for each document and item with the merged spans."""
+def search_shard(test: TestMaterial, ids: list, lengths: list[int], seq: np.ndarray, texts: list[str] | None = None) -> pd.DataFrame:
+    """Cases of one shard: a row for each document and item with the merged spans; with ``texts``, in characters too."""
     offsets = np.concatenate(([0], np.cumsum(np.array(lengths, np.int64))))
     index = FMIndex(seq, len(test.vocabulary))
-    u, t, d, n = exact_runs(index, test)
+    kept = [(np.empty(0, np.int64),) * 4]
+    for u, t, d, n in exact_runs(index, test):
+        whole = n >= test.least[u]
+        near = np.flatnonzero(~whole)
+        keep = np.concatenate((np.flatnonzero(whole), near[promising(test, seq, u[near], t[near], d[near], n[near])]))
+        kept.append((u[keep], t[keep], d[keep], n[keep]))
     del index
-    whole = n >= test.least[u]
-    near = np.flatnonzero(~whole)
-    keep = np.concatenate((np.flatnonzero(whole), near[promising(test, seq, u[near], t[near], d[near], n[near])]))
-    doc = np.searchsorted(offsets, d[keep], side="right") - 1
-    by = np.lexsort((-n[keep], u[keep], doc))
-    keep, doc = keep[by], doc[by]
+    u, t, d, n = map(np.concatenate, zip(*kept))
+    doc = np.searchsorted(offsets, d, side="right") - 1
     found: dict[tuple, list] = {}
-    for k, where in zip(keep.tolist(), doc.tolist()):
+    for k in np.lexsort((-n, u, doc)).tolist():
+        where = int(doc[k])
         key = (where, int(test.item[u[k]]))
         spans = found.get(key)
         if spans and any(x[2] <= d[k] and d[k] + n[k] <= x[3] for x in spans):
@@ -329,7 +415,7 @@ def search_shard(test: TestMaterial, ids: list, lengths: list[int], seq: np.ndar
         case = extended(test, seq, int(u[k]), int(t[k]), int(d[k]), int(n[k]), int(offsets[where]), int(offsets[where + 1]))
         if case:
             found.setdefault(key, []).append(case)
-    rows = []
+    rows, places = [], {}
     for (where, item), cases in found.items():
         spans: list[list[int]] = []
         for _, _, a, b in sorted(cases, key=lambda c: c[2:]):
@@ -339,58 +425,147 @@ def search_shard(test: TestMaterial, ids: list, lengths: list[int], seq: np.ndar
             else:
                 spans.append([a, b])
         best = max(cases, key=lambda c: c[0])
-        rows.append((ids[where], item, best[0], best[1], [{"start": a, "end": b} for a, b in spans]))
-    return pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "edits", "spans"])
+        if texts and where not in places:
+            places[where] = word_places(texts[where])
+        cuts = [{"start": int(places[where][0][a]), "end": int(places[where][1][b - 1])} for a, b in spans] if texts else None
+        rows.append((ids[where], item, best[0], best[1], [{"start": a, "end": b} for a, b in spans], cuts))
+    return pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "edits", "spans", "places"])
+
+
+class _Shard:
+    """Documents gathered until they make a shard."""
+
+    def __init__(self, material: TestMaterial, shard_words: int, with_texts: bool):
+        self.material, self.shard_words, self.with_texts = material, shard_words, with_texts
+        self.kind = np.uint16 if len(material.vocabulary) < 65_535 else np.int64
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.lengths, self.parts, self.texts, self.held = [], [], [], [], 0
+
+    def add(self, i, text: str) -> bool:
+        """Whether the text is long enough to carry anything."""
+        w = words(text)
+        if len(w) < MIN_WORDS * 8 // ONE_IN:
+            return False
+        get = self.material.vocabulary.get
+        self.parts += [np.fromiter((get(x, 0) for x in w), self.kind, len(w)), np.zeros(1, self.kind)]
+        self.ids.append(i)
+        self.lengths.append(len(w) + 1)
+        self.held += len(w) + 1
+        if self.with_texts:
+            self.texts.append(text)
+        return True
+
+    def full(self) -> bool:
+        return self.held >= self.shard_words
+
+    def search(self) -> pd.DataFrame:
+        if not self.ids:
+            return pd.DataFrame(columns=["doc_id", "item_id", "words", "edits", "spans", "places"])
+        return search_shard(self.material, self.ids, self.lengths, np.concatenate(self.parts), self.texts or None)
+
+
+def _search(material: TestMaterial, shard_words: int, with_places: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = _Shard(material, shard_words, with_places)
+        for pdf in batches:
+            for i, text in zip(pdf["doc_id"], pdf["text"]):
+                shard.add(i, text)
+                if shard.full():
+                    yield shard.search()
+                    shard.clear()
+        yield shard.search()
 
+    return run
 
-def _search(material: TestMaterial, shard_words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get, kind = material.vocabulary.get, np.uint16 if len(material.vocabulary) < 65_535 else np.int64
-        ids, lengths, parts, held = [], [], [], 0
 
-        def flush() -> pd.DataFrame:
-            out = search_shard(material, list(ids), list(lengths), np.concatenate(parts).astype(kind))
-            ids.clear(), lengths.clear(), parts.clear()
-            return out
+def without(text: str, places: list[tuple[int, int]]) -> str:
+    """``text`` without the given ranges of characters; a blank stands where two words would meet."""
+    out, at = "", 0
+    for a, b in sorted(places):
+        if b > at:
+            out += text[at : max(a, at)]
+            at = b
+            if _SPELLED.fullmatch(out[-1:]) and _SPELLED.fullmatch(text[at : at + 1]):
+                out += " "
+    return out + text[at:]
+
+
+def _clean(material: TestMaterial, shard_words: int):
+    """(doc_id, text, removed) for every document; what is left of a document is searched again until nothing is found."""
+
+    def flush(shard: _Shard) -> Iterator[pd.DataFrame]:
+        gone = dict.fromkeys(range(len(shard.ids)), 0)
+        left = dict(enumerate(shard.texts))
+        again = _Shard(material, shard_words, True)
+        for k, text in left.items():
+            again.add(k, text)
+        while again.ids:
+            places: dict[int, list] = {}
+            for r in again.search().itertuples():
+                places.setdefault(r.doc_id, []).extend((p["start"], p["end"]) for p in r.places)
+            again.clear()
+            for k, own in places.items():
+                before, left[k] = len(left[k]), without(left[k], own)
+                gone[k] += before - len(left[k])
+                again.add(k, left[k])
+        if left:
+            yield pd.DataFrame({"doc_id": [i for i, _ in shard.ids], "text": list(left.values()), "removed": [n + gone[k] for k, (_, n) in enumerate(shard.ids)]})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = _Shard(material, shard_words, True)
         for pdf in batches:
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
-                w = words(text)
-                if len(w) < MIN_WORDS * 8 // ONE_IN:
-                    continue
-                parts.append(np.fromiter((get(x, 0) for x in w), kind, len(w)))
-                parts.append(np.zeros(1, kind))
-                ids.append(i)
-                lengths.append(len(w) + 1)
-                held += len(w) + 1
-                if held >= shard_words:
-                    if len(found := flush()):
-                        yield found
-                    held = 0
-        if ids and len(found := flush()):
-            yield found
+            short = []
+            for i, text, n in zip(pdf["doc_id"], pdf["text"], pdf["removed"]):
+                if text is None or not shard.add((i, n), text):
+                    short.append((i, text, n))
+                if shard.full():
+                    yield from flush(shard)
+                    shard.clear()
+            if short:
+                yield pd.DataFrame(short, columns=["doc_id", "text", "removed"])
+        yield from flush(shard)
 
     return run
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_texts: tuple[str, ...] = ("passage", "question"), shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, item_id, words, edits, spans): every document that carries a stretch of at least 24 words (36 Han characters)
-    of a text of an item, at most one word in nine of it changed, left out or added; ``words`` and ``edits`` of the longest
-    such stretch, ``spans`` the merged ranges of the document's folded words to remove.
+def _passes(items: DataFrame, item_col: str, item_texts: tuple[str, ...]) -> Iterator:
+    """The test material in passes of bounded size, each sent to every executor. A single item is never divided."""
+    spark = items.sparkSession
+    chosen = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("bigint").alias("i"), *item_texts).dropDuplicates(["i"])
+    length = sum((F.coalesce(F.length(c), F.lit(0)) for c in item_texts), F.lit(0))
+    n, characters = chosen.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
+    passes = max(1, -(-n // ITEMS_PER_PASS), -(-characters // CHARACTERS_PER_PASS))
+    for k in range(passes):
+        part = chosen if passes == 1 else chosen.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k)
+        yield spark.sparkContext.broadcast(TestMaterial([tuple(r) for r in part.orderBy("i").collect()], tuple(range(1, len(item_texts) + 1))))
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_texts: tuple[str, ...] = ("passage", "question"), shard_words: int = SHARD_WORDS, with_places: bool = True) -> DataFrame:
+    """(doc_id, item_id, words, edits, spans, places): every document that carries a stretch of at least 24 words (36 Han
+    characters) of a text of an item, at most one word in nine of it changed, left out or added; ``words`` and ``edits`` of the
+    longest such stretch, ``spans`` the merged ranges of the document's folded words to remove, and ``places`` the same ranges in
+    characters of its text (null without ``with_places``).
 
     Null and empty texts carry nothing; item texts shorter than the least stretch are never found; repeated items count
-    once; a document of any length is searched whole, in one shard. The items go to every executor; at most ITEMS_PER_PASS
-    at once, more in several passes over the documents.
+    once; a document of any length is searched whole, in one shard. The items go to every executor, at most ITEMS_PER_PASS
+    and about CHARACTERS_PER_PASS at once, more in several passes over the documents.
     """
-    spark = docs.sparkSession
-    chosen = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("bigint").alias("i"), *item_texts).dropDuplicates(["i"])
-    passes = max(1, -(-chosen.count() // ITEMS_PER_PASS))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    span = "array<struct<start:bigint,end:bigint>>"
     out = None
-    for k in range(passes):
-        part = chosen if passes == 1 else chosen.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k)
-        material = TestMaterial([tuple(r) for r in part.orderBy("i").collect()], tuple(range(1, len(item_texts) + 1)))
-        sent = spark.sparkContext.broadcast(material)
-        found = rows.mapInPandas(lambda it, b=sent: _search(b.value, shard_words)(it), "doc_id bigint, item_id bigint, words bigint, edits bigint, spans array<struct<start:bigint,end:bigint>>")
+    for sent in _passes(items, item_col, item_texts):
+        found = rows.mapInPandas(lambda it, b=sent: _search(b.value, shard_words, with_places)(it), f"doc_id bigint, item_id bigint, words bigint, edits bigint, spans {span}, places {span}")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def cleaned_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_texts: tuple[str, ...] = ("passage", "question"), shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, text, removed): every document without what :func:`leaked_items` finds in it, and the number of characters taken
+    out. What is left carries nothing any more: where the rest of a document meets in a new stretch, that goes too. Documents
+    that carry nothing, null texts among them, keep their text. Nothing is shuffled."""
+    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("removed", F.lit(0).cast("bigint"))
+    for sent in _passes(items, item_col, item_texts):
+        out = out.mapInPandas(lambda it, b=sent: _clean(b.value, shard_words)(it), "doc_id bigint, text string, removed bigint")
+    return out

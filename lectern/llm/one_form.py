@@ -33,7 +33,7 @@ LATIN_FORMS_AS = "ag"
 UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
 
 SHAPE = dict(zip(CYRILLIC + GREEK + ARMENIAN + CHEROKEE + LATIN_FORMS, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + CHEROKEE_AS + LATIN_FORMS_AS))
-_SHAPES = str.maketrans(SHAPE)
+SHAPES = str.maketrans(SHAPE)
 #: Letters of each shape; the Latin one first, one form of a letter for each alphabet.
 READINGS: dict[str, str] = {}
 for _c, _s in SHAPE.items():
@@ -58,7 +58,7 @@ class _Unseen(dict):
         return self[o]
 
 
-_DELETE = _Unseen()
+DELETE = _Unseen()
 #: Whether a text may hold a character to delete; a quick look before the slower translation.
 _MAYBE_UNSEEN = re.compile("[" + re.escape(UNSEEN) + "\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\xad\u0600-\u0605\u061c\u06dd\u070f\u0890\u0891\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb\U000110bd-\U0001d17a\U000e0000-\U000e0fff]")
 
@@ -68,7 +68,7 @@ def plain(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     if _MAYBE_UNSEEN.search(text):
-        text = unicodedata.normalize("NFKC", text.translate(_DELETE))
+        text = unicodedata.normalize("NFKC", text.translate(DELETE))
     return _BLANKS.sub(" ", text).strip()
 
 
@@ -77,7 +77,7 @@ def shape(text: str) -> str:
     text = plain(text)
     if text.isascii() or not _FOREIGN.search(text):
         return text
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_SHAPES))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(SHAPES))
 
 
 def alphabet(c: str) -> str:
@@ -112,7 +112,7 @@ class Lattice:
         """The best path through the letters that have the shapes of ``word``, which is in NFD."""
         if word in self.known:
             return self.known[word]
-        shapes = word.translate(_SHAPES)
+        shapes = word.translate(SHAPES)
         paths = {"^": (0.0, "")}
         for c in shapes:
             if 0x300 <= ord(c) < 0x370:  # a mark goes with its letter

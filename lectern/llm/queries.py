@@ -110,13 +110,18 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the test items they carry and the ranges of words to remove."""
+    """Documents with the test items they carry and the ranges of words and of characters to remove."""
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "test_items"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the test items they carry."""
-    return p7_leaks(spark, d).select("doc_id", "item_id")
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "test_items"), with_places=False).select("doc_id", "item_id")
+
+
+def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the test material in it."""
+    return leaks.cleaned_documents(table(spark, d, "documents"), table(spark, d, "test_items"))
 
 
 # 8: subjects
@@ -139,7 +144,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p1_found, p1_one_form, p2_found, p2_groups, p2_weighted, p4_found, p4_report, p4_sample, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_subjects, p8_composition)
+    own = (p1_found, p1_one_form, p2_found, p2_groups, p2_weighted, p4_found, p4_report, p4_sample, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p7_cleaned, p8_found, p8_subjects, p8_composition)
     return {f.__name__: f for f in own}
 
 
