@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -259,10 +260,16 @@ def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": ids, "place": places, "sentence": out})
 
 
-def _sampled(feats: DataFrame, chosen: DataFrame, most: int, seed: int) -> list:
-    """(doc_id, place, sentence) of at most ``most`` sentences of the chosen documents, by a hash; cut and drawn by the executors."""
+def _sampled(feats: DataFrame, chosen: DataFrame, most: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(doc_id of each sentence, sentences): at most ``most`` of the chosen documents, by a hash; cut and drawn by the executors,
+    and collected as columns, which take a fraction of the memory of rows."""
     own = feats.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("doc_id", "terms").mapInPandas(_sample, "doc_id bigint, place bigint, sentence array<int>")
-    return sorted(own.orderBy(F.xxhash64(F.lit(seed), "doc_id", "place"), "doc_id", "place").limit(most).collect(), key=lambda r: (r["doc_id"], r["place"]))
+    got = own.orderBy(F.xxhash64(F.lit(seed), "doc_id", "place"), "doc_id", "place").limit(most).toArrow().combine_chunks()
+    ids, places = got["doc_id"].to_numpy(), got["place"].to_numpy()
+    flat = pc.list_flatten(got["sentence"]).to_numpy().astype(np.int64)
+    every = np.split(flat, np.cumsum(pc.list_value_length(got["sentence"]).to_numpy())[:-1]) if len(ids) else []
+    order = np.lexsort((places, ids))
+    return ids[order], [every[k] for k in order]
 
 
 def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_docs: int = LABEL_DOCS, label_sentences: int = LABEL_SENTENCES, other_docs: int = OTHER_DOCS, other_sentences: int = OTHER_SENTENCES, seed: int = 0) -> DataFrame:
@@ -286,14 +293,14 @@ def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, id_c
     first = spark.createDataFrame([(r["doc_id"],) for r in chosen], "doc_id bigint")
     others = by_hash(feats.select("doc_id").join(told, "doc_id", "left_anti"), other_docs)
     label_of = {r["doc_id"]: frozenset(r["subjects"]) for r in chosen}
-    rows = _sampled(feats, first, label_sentences, seed) + _sampled(feats, others, other_sentences, seed)
-    place = {i: k for k, i in enumerate(dict.fromkeys(r["doc_id"] for r in rows))}
-    sentences = [np.array(r["sentence"], np.int64) for r in rows]
+    (own, mine), (foreign, theirs) = _sampled(feats, first, label_sentences, seed), _sampled(feats, others, other_sentences, seed)
+    sentences = mine + theirs
+    known, of = np.unique(np.concatenate((own, foreign)), return_inverse=True)
     terms = np.unique(np.concatenate([*sentences, np.empty(0, np.int64)]))
     wanted = spark.createDataFrame(pd.DataFrame({"term": np.append(terms, 0).astype(np.int32)}), "term int")
     partial = made.where("doc_id is null").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
     got = {r["term"]: r["n"] for r in partial.join(F.broadcast(wanted), "term").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    model = SubjectModel(sentences, np.array([place[r["doc_id"]] for r in rows], np.int64), [label_of.get(i) for i in place], terms, np.array([got.get(int(t), 0) for t in terms], float), int(got.get(0, 0)), names, seed)
+    model = SubjectModel(sentences, of, [label_of.get(i) for i in known.tolist()], terms, np.array([got.get(int(t), 0) for t in terms], float), int(got.get(0, 0)), names, seed)
     ready = spark.sparkContext.broadcast(model)
     return feats.mapInPandas(lambda it, b=ready: _assign(b.value)(it), "doc_id bigint, subject string, sentences bigint, of bigint")
 
