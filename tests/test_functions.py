@@ -158,3 +158,23 @@ def test_text(spark):
     assert one(spark, "t string", ("x" * 101,), text.hover(F.col("t")), text.preview(F.col("t"))) == ("x" * 97 + "...", "x" * 50 + "...")
     assert one(spark, "t string", ("{question}",), text.render('{"a": [{t}]} {b}', t=F.col("t"), b=F.lit(None)))[0] == '{"a": [{question}]} '
     assert one(spark, "t string", ("1, 2,3",), text.int_list(F.col("t")))[0] == [1, 2, 3]
+
+
+def test_best_ratio_with_and_without_a_floor():
+    import random
+    from difflib import SequenceMatcher
+
+    def plain_best(e, c):
+        sizes = range(max(10, int(len(e) * 0.8)), min(int(len(e) * 1.2), len(c)) + 1)
+        return max((SequenceMatcher(None, e, c[i : i + s]).ratio() for s in sizes for i in range(len(c) - s + 1)), default=0.0)
+
+    rng = random.Random(1)
+    near = 0
+    for _ in range(150):
+        c = "".join(rng.choice("abcde fgh") for _ in range(rng.randrange(90)))
+        at = rng.randrange(len(c) + 1)
+        e = "".join(x for x in c[at : at + rng.randrange(5, 40)] if rng.random() > 0.15) or "x"
+        want = plain_best(e, c)
+        near += want >= 0.8
+        assert evidence.best_similarity(e, c) == want and evidence.best_similarity(e, c, 0.8) == (want if want >= 0.8 else None)
+    assert 20 < near < 130
