@@ -111,6 +111,7 @@ def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
         t.replace(spans(_SPLIT_WORD), lambda x: "")
     if not t.text.isascii():
         nfkc, nfc, nfd = (lambda x, f=f: unicodedata.normalize(f, x) for f in ("NFKC", "NFC", "NFD"))
+        t.text = t.text.translate(one_form.LUNATE_SHAPES)
         t.clusters(nfkc)
         t.replace([(k, k + 1) for k, c in enumerate(t.text) if c.translate(one_form.DELETE) == ""], lambda x: "")
         t.clusters(lambda x: nfkc(x))

@@ -18,22 +18,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other alphabets that have the shape of the Latin letter in the same place of the second string.
-CYRILLIC = "АВЕЅІЈКМНОРСТХҮԚԜӀаеѕіјорсухһԁԛԝӏѵ"
-CYRILLIC_AS = "ABESIJKMHOPCTXYQWIaesijopcyxhdqwlv"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο"
-GREEK_AS = "ABEZHIKMNOPTYXvo"
-ARMENIAN = "օսհցՕՍ"
-ARMENIAN_AS = "ouhgOU"
-CHEROKEE = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ"
-CHEROKEE_AS = "ABCDEGHJKLMPRSTVWZ"
-LATIN_FORMS = "ɑɡ"
-LATIN_FORMS_AS = "ag"
+from lectern.functions.evidence import match_evidence
+
+# Letters of other alphabets that have the shape of the Latin letter in the same place of the second string, by the
+# public table of confusable characters, less those that only some typefaces draw alike.
+CYRILLIC = "ЅІЈАВЕКМНОРСТУХЬаеорсухѕіјѡѴѵҮүһӀӏԁԌԚԛԜԝ"
+CYRILLIC_AS = "SIJABEKMHOPCTYXbaeopcyxsijwVvYyhIldGQqWw"
+GREEK = "ͿΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγινορυϜϳϺ"
+GREEK_AS = "JABEZHIKMNOPTYXayivopuFjM"
+# Compatibility form makes other letters of these, so they are replaced before it.
+LUNATE = "ϲϹϱ"
+LUNATE_AS = "cCp"
+ARMENIAN = "ՍՏՕհոսցօ"
+ARMENIAN_AS = "USOhnugo"
+CHEROKEE = "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ"
+CHEROKEE_AS = "DRTiYAJEWMHYGhZbRWSVSLCPKdGB"
+COPTIC = "ⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ"
+COPTIC_AS = "HIKMNOoPpCcTYX"
+LISU = "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_AS = "BPdDTGKJCZFMNLSRVHWXYAEIOU"
+LATIN_FORMS = "ɑɡᴄᴏᴜᴠᴡᴢꜱ"
+LATIN_FORMS_AS = "agcouvwzs"
 # Characters without a shape that the category Cf does not hold.
 UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
 
-SHAPE = dict(zip(CYRILLIC + GREEK + ARMENIAN + CHEROKEE + LATIN_FORMS, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + CHEROKEE_AS + LATIN_FORMS_AS))
+SHAPE = dict(zip(CYRILLIC + GREEK + ARMENIAN + CHEROKEE + COPTIC + LISU + LATIN_FORMS, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + CHEROKEE_AS + COPTIC_AS + LISU_AS + LATIN_FORMS_AS))
 SHAPES = str.maketrans(SHAPE)
+LUNATE_SHAPES = str.maketrans(LUNATE, LUNATE_AS)
 #: Letters of each shape; the Latin one first, one form of a letter for each alphabet.
 READINGS: dict[str, str] = {}
 for _c, _s in SHAPE.items():
@@ -42,7 +53,7 @@ for _c, _s in SHAPE.items():
 
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 _BLANKS = re.compile(r"\s+")
-_FOREIGN = re.compile(r"[ɐ-ʯͰ-ԯ԰-֏Ꭰ-᏿]")
+_FOREIGN = re.compile(r"[ɐ-ʯͰ-֏Ꭰ-᏿ᴀ-ᵿⲀ-⳿ꓐ-꓿꜠-ꟿ]")
 _ONLY_SHARED = re.compile(f"[{''.join(READINGS)}̀-ͯ]+")
 _CHANGE = -40.0  # log score of leaving an alphabet inside a word
 _RARE = -12.0  # of a pair of letters never seen
@@ -66,7 +77,7 @@ _MAYBE_UNSEEN = re.compile("[" + re.escape(UNSEEN) + "\x00-\x08\x0e-\x1b\x7f-\x8
 def plain(text: str) -> str:
     """Compatibility form without unseen characters and with single spaces; letters keep their alphabet."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
+        text = unicodedata.normalize("NFKC", text.translate(LUNATE_SHAPES) if any(c in text for c in LUNATE) else text)
     if _MAYBE_UNSEEN.search(text):
         text = unicodedata.normalize("NFKC", text.translate(DELETE))
     return _BLANKS.sub(" ", text).strip()
@@ -87,7 +98,7 @@ def alphabet(c: str) -> str:
         return "latin"
     if 0x300 <= o < 0x370:
         return ""
-    for name, a, b in (("greek", 0x370, 0x400), ("cyrillic", 0x400, 0x530), ("armenian", 0x530, 0x590), ("cherokee", 0x13A0, 0x1400)):
+    for name, a, b in (("greek", 0x370, 0x400), ("cyrillic", 0x400, 0x530), ("armenian", 0x530, 0x590), ("cherokee", 0x13A0, 0x1400), ("coptic", 0x2C80, 0x2D00), ("lisu", 0xA4D0, 0xA500)):
         if a <= o < b:
             return name
     return "other"
@@ -199,3 +210,14 @@ def quotes_in_other_characters(quotes: DataFrame, texts: DataFrame, id_col: str,
     q, t = q.withColumn("quote_form", form("quote_")), t.withColumn("text_form", form("text_"))
     hit = q.join(t, "k_").where(~F.contains("text_", "quote_") & (F.col("quote_form") != "") & F.contains("text_form", "quote_form"))
     return hit.select(F.col("q_id_").alias(id_col), "quote_form").dropDuplicates([id_col])
+
+
+def recomputed_similarity(quotes: DataFrame, texts: DataFrame, id_col: str, key: str, quote: str, text: str, threshold: float = 0.8) -> DataFrame:
+    """(id_col, evidence_found, evidence_similarity): quotes beside the text of their ``key``, both in one form: 1 for a stretch of
+    it, else the best ratio with any stretch of about its length when that reaches ``threshold``, else null; 0 for null and blank
+    quotes and quotes without a text. Quotes that repeat (same id, same key) count once, the first by its text."""
+    form = one_form(letter_pairs((quotes, quote), (texts, text)))
+    q = quotes.select(F.col(id_col).alias("q_id_"), F.col(key).alias("k_"), F.col(quote).alias("quote_")).groupBy("q_id_", "k_").agg(F.min("quote_").alias("quote_")).withColumn("quote_", form("quote_"))
+    t = texts.select(F.col(key).alias("k_"), F.col(text).alias("text_")).where("text_ is not null and k_ is not null").dropDuplicates(["k_"]).withColumn("text_", form("text_"))
+    known = q.where("k_ is not null").join(t, "k_", "left").unionByName(q.where("k_ is null").withColumn("text_", F.lit(None).cast("string")))
+    return match_evidence(known, "quote_", "text_", threshold, threshold).select(F.col("q_id_").alias(id_col), "evidence_found", "evidence_similarity")

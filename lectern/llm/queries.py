@@ -27,6 +27,11 @@ def p1_one_form(spark: SparkSession, d: str) -> DataFrame:
     return both.dropDuplicates(["source", "id"]).select("source", "id", form("text").alias("text"))
 
 
+def p1_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of all evidence with its context, both in one form."""
+    return one_form.recomputed_similarity(table(spark, d, "validations"), table(spark, d, "contexts"), "validation_id", "context_id", "evidence", "context")
+
+
 # 2: near copies
 
 
@@ -144,7 +149,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p1_found, p1_one_form, p2_found, p2_groups, p2_weighted, p4_found, p4_report, p4_sample, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p7_cleaned, p8_found, p8_subjects, p8_composition)
+    own = (p1_found, p1_one_form, p1_similarity, p2_found, p2_groups, p2_weighted, p4_found, p4_report, p4_sample, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p7_cleaned, p8_found, p8_subjects, p8_composition)
     return {f.__name__: f for f in own}
 
 

@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm.one_form import READINGS, SHAPE, Lattice, count_pairs, letter_pairs, one_form, plain, quotes_in_other_characters, shape
+from lectern.llm import one_form as forms
+from lectern.llm.one_form import READINGS, SHAPE, Lattice, count_pairs, letter_pairs, one_form, plain, quotes_in_other_characters, recomputed_similarity, shape
 
 TEXTS = ["the cat sat on the mat and thought of the sea", "кот думал о море и ждал", "of paper and scope", "мир труд май"]
 
@@ -79,3 +80,25 @@ def test_column_function(spark):
     form = one_form(letter_pairs((df, "t")))
     got = {r["i"]: r["f"] for r in df.select("i", form("t").alias("f")).collect()}
     assert got[2] is None and got[3] == "" and shape(got[1]) == "cat on a mat" and unicodedata.is_normalized("NFC", got[1])
+
+
+def test_shapes_of_all_alphabets():
+    assert shape("ραιυ") == "paiu" and shape("ꓔꓧꓰ ᴄᴏᴡ Ⲣⲟⲥ Ьaд") == "THE cow Poc baд" and shape("ᏢᎪᎠ оՍ") == "PAD oU"
+    names = ("CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC", "LISU", "LATIN_FORMS")
+    for name in names:
+        letters, same = getattr(forms, name), getattr(forms, name + "_AS")
+        assert len(letters) == len(same) == len(set(letters)) and same.isascii() and all(shape(c) == x for c, x in zip(letters, same))
+    assert len(SHAPE) < 200
+
+
+def test_recomputed_similarity(spark):
+    text = "Norvel dreamed of Emberbourne twelve nights running and wrote it all down before breakfast."
+    ctx = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (None, "y", "y")], "context_id bigint, context string, evidence string")
+    rows = [
+        (1, 1, "Norvel dreаmed of Ｅmberbourne"), (2, 1, "norvel dreamed of emberbourne twelve nights and wrote it down"), (3, 1, "the harbour master sold his boat to nobody at all"), (4, 1, None), (5, 2, "Norvel"),
+        (6, 9, "Norvel"), (7, None, "Norvel"), (8, 1, "  "), (1, 1, "Norvel dreаmed of Ｅmberbourne"),
+    ]
+    v = spark.createDataFrame([(a, b, t, 0.3) for a, b, t in rows], "validation_id bigint, context_id bigint, evidence string, evidence_similarity double")
+    got = {r["validation_id"]: (r["evidence_found"], r["evidence_similarity"]) for r in recomputed_similarity(v, ctx, "validation_id", "context_id", "evidence", "context").collect()}
+    assert len(got) == 8 and got[1] == (True, 1.0) and got[3] == (False, None) and all(got[k] == (False, 0.0) for k in (4, 5, 6, 7, 8))
+    assert got[2][0] and 0.8 <= got[2][1] < 1
