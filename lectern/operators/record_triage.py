@@ -1,7 +1,9 @@
 """Loading comma-separated question records that may be broken.
 
-Every record is read permissively with an explicit schema and keeps its raw text. Records that fail a check are set apart
-with the first reason that applies; the others come out typed.
+Every record is read permissively with an explicit, typed schema; one that the reader can't fit to it is marked corrupt and keeps
+its raw text. Corrupt records are then classified by quoting, number of fields and casts; what the reader lets pass (stray
+quotes, blank or untyped text inside fields, signs before a number) is checked by its content. Records that fail come out with
+the first reason that applies, the others typed.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from lectern.plans.session import need_columns
 
 FIELDS = ("question", "question_type", "choice", "answer", "start_pos", "end_pos")
 REASONS = ("quoting", "column_count", "question", "choice", "answer", "position")
-_RAW = T.StructType([T.StructField(c, T.StringType()) for c in FIELDS] + [T.StructField("_corrupt", T.StringType())])
+_RECORD = "question string, question_type string, choice string, answer string, start_pos bigint, end_pos bigint, _corrupt string"
 _MARK = "\u0001"  # stands for one quoted stretch while fields are counted
 _JSON_SCHEMA = T.StructType([T.StructField("choice_ok", T.BooleanType()), T.StructField("answer_ok", T.BooleanType()), T.StructField("choice", T.MapType(T.StringType(), T.StringType())), T.StructField("answer", T.ArrayType(T.StringType()))])
 
@@ -73,29 +75,28 @@ def classify_records(lines: DataFrame) -> DataFrame:
     masked = F.split(F.regexp_replace(F.translate("body", _MARK, " "), r'"[^"]*"', _MARK), ",", -1)
     field_ok = lambda f: ~F.contains(f, F.lit('"')) & (~F.contains(f, F.lit(_MARK)) | f.rlike(f"^{_MARK}+\\z"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "lineSep": "\u0002", "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "\u0003", "emptyValue": ""}
-    schema = ", ".join(f"`{f.name}` string" for f in _RAW.fields)
     parsed = (
         rows.withColumn("body", body)
         .withColumn("masked", masked)
         .withColumn("quoting_ok", F.forall("masked", field_ok))
         .withColumn("n_fields", F.size("masked"))
         .drop("masked")
-        .withColumn("r", F.from_csv("body", F.lit(schema), options))
+        .withColumn("r", F.from_csv("body", F.lit(_RECORD), options))
     )
     # not to be called once more by filters that are moved below it
     fields = parsed.withColumn("j", _json_fields.asNondeterministic()("r.choice", "r.answer"))
-    digits = lambda c: F.coalesce(F.col(f"r.{c}").rlike(r"^[0-9]+\z"), F.lit(False))
-    start, end = (F.expr(f"try_cast(r.{c} as bigint)") for c in ("start_pos", "end_pos"))
     blank = F.coalesce(F.col("r.question").rlike(r"(?U)^\s*\z"), F.lit(True))
+    corrupt = F.col("r._corrupt").isNotNull() | F.col("r.start_pos").isNull() | F.col("r.end_pos").isNull()
+    digits = F.col("body").rlike(r'(?:,[0-9]+|,"[0-9]+"){2}\z')  # the reader casts signs and other alphabets' digits, too
     reason = (
         F.when(~F.col("quoting_ok"), "quoting")
         .when(F.col("n_fields") != len(FIELDS), "column_count")
         .when(blank, "question")
         .when(~F.col("j.choice_ok"), "choice")
         .when(~F.col("j.answer_ok"), "answer")
-        .when(~digits("start_pos") | ~digits("end_pos") | F.coalesce(end < start, F.lit(True)), "position")
+        .when(corrupt | ~digits | (F.col("r.end_pos") < F.col("r.start_pos")), "position")
     )
-    return fields.select("line_id", reason.alias("reason"), "raw_line", "r.question", "r.question_type", "j.choice", "j.answer", start.alias("start_pos"), end.alias("end_pos"))
+    return fields.select("line_id", reason.alias("reason"), "raw_line", "r.question", "r.question_type", "j.choice", "j.answer", "r.start_pos", "r.end_pos")
 
 
 def rejected_records(lines: DataFrame) -> DataFrame:

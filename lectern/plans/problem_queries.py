@@ -55,10 +55,11 @@ d AS (SELECT *, list_transform(v, lambda x: CASE WHEN x LIKE '"%' THEN replace(x
 e AS (SELECT *, CASE WHEN json_valid(w[3]) AND NOT regexp_matches(w[3], ',\s*[}\]]') THEN w[3]::JSON END AS ch, CASE WHEN json_valid(w[4]) AND NOT regexp_matches(w[4], ',\s*[}\]]') THEN w[4]::JSON END AS an FROM d),
 g AS (SELECT *, coalesce(json_type(ch) = 'OBJECT' AND len(list_distinct(json_keys(ch))) >= 2 AND len(list_filter(json_extract(ch, '$.*'), lambda x: json_type(x) <> 'VARCHAR')) = 0, false) AS ch_ok,
   coalesce(json_type(an) = 'ARRAY' AND json_array_length(an) >= 1 AND len(list_filter(json_extract(an, '$[*]'), lambda x: json_type(x) <> 'VARCHAR' OR NOT list_contains(json_keys(ch), json_extract_string(x, '$')))) = 0, false) AS an_ok FROM e)
-SELECT line_id, reason FROM (SELECT line_id, CASE WHEN NOT quoting_ok THEN 'quoting' WHEN len(f) <> 6 THEN 'column_count' WHEN regexp_full_match(w[1], '\s*') THEN 'question' WHEN NOT ch_ok THEN 'choice' WHEN NOT an_ok THEN 'answer'
-  WHEN NOT regexp_full_match(w[5], '[0-9]+') OR NOT regexp_full_match(w[6], '[0-9]+') OR TRY_CAST(w[6] AS BIGINT) < TRY_CAST(w[5] AS BIGINT) THEN 'position' END AS reason FROM g) WHERE reason IS NOT NULL
+SELECT {columns} FROM (SELECT *, CASE WHEN NOT quoting_ok THEN 'quoting' WHEN len(f) <> 6 THEN 'column_count' WHEN regexp_full_match(w[1], '\s*') THEN 'question' WHEN NOT ch_ok THEN 'choice' WHEN NOT an_ok THEN 'answer'
+  WHEN NOT regexp_full_match(w[5], '[0-9]+') OR NOT regexp_full_match(w[6], '[0-9]+') OR TRY_CAST(w[6] AS BIGINT) < TRY_CAST(w[5] AS BIGINT) THEN 'position' END AS reason FROM g) WHERE reason IS {good}
 """
-ORACLE["p5_found"] = _P5
+ORACLE["p5_found"] = _P5.replace("{columns}", "line_id, reason").replace("{good}", "NOT NULL")
+ORACLE["p5_loaded"] = _P5.replace("{columns}", "line_id, w[1] AS question, w[2] AS question_type, CAST(len(list_distinct(json_keys(ch))) AS INTEGER) AS choices, array_to_string(json_extract_string(an, '$[*]'), ',') AS answer_csv, CAST(w[5] AS BIGINT) AS start_pos, CAST(w[6] AS BIGINT) AS end_pos").replace("{good}", "NULL")
 
 
 def queries() -> dict:
