@@ -42,13 +42,14 @@ def result_key(question: Column, depth_bin: Column, length: Column) -> Column:
 
 
 def choice_lines(choice: Column) -> Column:
-    """'key. value' lines in the order of the map."""
-    return F.array_join(F.transform(F.map_entries(choice), lambda e: F.concat(e["key"], F.lit(". "), e["value"])), "\n")
+    """'key. value' lines in the order of the map; a null value is empty."""
+    return F.array_join(F.transform(F.map_entries(choice), lambda e: F.concat(e["key"], F.lit(". "), F.coalesce(e["value"], F.lit("")))), "\n")
 
 
 def sorted_choice_lines(choice: Column) -> Column:
-    """'KEY. value' lines by key."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(choice)), lambda e: F.concat(F.upper(e["key"]), F.lit(". "), e["value"])), "\n")
+    """'KEY. value' lines by key; a null value is empty."""
+    line = lambda k: F.concat(F.upper(k), F.lit(". "), F.coalesce(F.try_element_at(choice, k), F.lit("")))
+    return F.array_join(F.transform(F.array_sort(F.map_keys(choice)), line), "\n")
 
 
 def render(template: str, **values: Column) -> Column:
@@ -59,6 +60,12 @@ def render(template: str, **values: Column) -> Column:
     return out
 
 
+def messages(template: dict, **values: Column) -> tuple[Column, Column]:
+    """(system, user) of a template with its values; constraints follow the system text, a line each."""
+    system = "\n".join([template.get("system", ""), *(f"- {c}" for c in template.get("constraints") or [])]).strip("\n")
+    return render(system, **values), render(template["user"], **values)
+
+
 def boundary_after(text: Column, at: Column, pattern: str = SENTENCE_END) -> Column:
     """The end of the first match at or after character ``at`` (from 0), else ``at``."""
     rest = F.substr(text, at + 1)

@@ -92,6 +92,11 @@ def combined_bins(questions: DataFrame, results: DataFrame, length: int, bins: i
     return coverage_bins(questions, length, bins).join(accuracy_bins(results, length, bins).select("bin", "accuracy", "question_count"), "bin")
 
 
+def length_choice(given: Column, total_tokens: Column, context_length: Column) -> Column:
+    """The context length given, else the set's total tokens, else its context length; zeros count as missing."""
+    return F.coalesce(given, F.nullif(total_tokens, F.lit(0)), F.nullif(context_length, F.lit(0)))
+
+
 def resolved_length(given: Column | None, metadata: DataFrame | None) -> int:
     """The context length given, else total_tokens, else context_length of a metadata row; an error without any."""
     if isinstance(given, int):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions.text import token_count_label
 from lectern.plans.session import cut
 from lectern.schema import DEPTH_LABELS
 
@@ -88,3 +89,12 @@ def level_plan(spark: SparkSession, novels: DataFrame, levels: tuple[int, ...] =
     need = F.when(F.col("level") > F.col(tokens), 0).otherwise(F.greatest(F.lit(5), F.floor((F.col("level") - F.col("range_start")) / 10_000) * per_10k))
     out = plan.withColumn("range_start", start).withColumn("questions", need.cast("bigint"))
     return out.select(key, "level", "range_start", "questions", F.sum("questions").over(w).alias("running_total"))
+
+
+def novel_analysis(spark: SparkSession, novels: DataFrame, levels: tuple[int, ...] = LEVELS, per_10k: int = 5, key: str = "novel_id", tokens: str = "total_tokens") -> DataFrame:
+    """(novel, tokens, longest_level, levels, questions): the length of each novel in words, the longest level it reaches (0: none),
+    how many it reaches, and how many questions its plan asks. Novels of unknown length are left out."""
+    plan = level_plan(spark, novels, levels, per_10k, key, tokens)
+    reached = F.col("questions") > 0
+    sums = plan.groupBy(key).agg(F.coalesce(F.max(F.when(reached, F.col("level"))), F.lit(0)).alias("longest_level"), F.count_if(reached).alias("levels"), F.sum("questions").alias("questions"))
+    return novels.where(F.col(tokens).isNotNull()).select(key, token_count_label(F.col(tokens)).alias("tokens")).join(sums, key)

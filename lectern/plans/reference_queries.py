@@ -280,9 +280,11 @@ def stratified_sample(s, d):
     return sampling.sampling_strategy("Stratified")(table(s, d, "novels"), "novel_id", "total_tokens", 20)
 
 
-@_q(f"SELECT i AS position FROM range(100000) t(i) ORDER BY {_MD5('i')}, i LIMIT 1000", raw=True)
+@_q(f"""SELECT novel_id, position FROM (SELECT novel_id, position, min(turn) AS turn FROM (SELECT novel_id, CASE WHEN total_tokens <= 80 THEN k ELSE h % total_tokens END AS position, CASE WHEN total_tokens <= 80 THEN h ELSE k END AS turn
+FROM (SELECT novel_id, total_tokens, k, CAST(('0x' || substr({_MD5('novel_id || chr(45) || k')}, 1, 7)) AS BIGINT) AS h FROM (SELECT novel_id, total_tokens, unnest(range(CASE WHEN total_tokens <= 80 THEN total_tokens ELSE 104 END)) AS k FROM novels WHERE total_tokens > 0))) GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY novel_id ORDER BY turn, position) <= 20""", raw=True)
 def random_sample(s, d):
-    return sampling.sampling_strategy("random")(s, 100_000, 1_000)
+    return sampling.sampling_strategy("random")(table(s, d, "novels"), "novel_id", "total_tokens", 20)
 
 
 _DEPTH_SAMPLE = f"""dq AS (SELECT q_id, position.end_pos AS end_pos, CAST(least(trunc(greatest(0.0, least(1.0, coalesce(position.end_pos, 0) / 400000)) * 5), 4) AS INTEGER) AS b, {_MD5('q_id')} AS h, {_MD5('q_id', 1)} AS h1 FROM que),
@@ -378,11 +380,23 @@ def precheck_filter(s, d):
     return checks.precheck(q, ignore_invalid=True).select("q_id", "is_valid")
 
 
+@_q("""SELECT q_id, ok IS NOT NULL AS has_validation, ok AS is_valid, CASE WHEN ok IS NULL THEN 'not validated' WHEN NOT ok THEN 'not valid' END AS problem FROM que LEFT JOIN (SELECT q_id, bool_or(coalesce(is_valid, false)) AS ok FROM val GROUP BY 1) v USING (q_id)""")
+def precheck_report(s, d):
+    return checks.precheck_report(_questions(s, d), _once(s, d, "validations", "validation_id"))
+
+
 @_q(f"SELECT q_id FROM que WHERE coalesce(position.end_pos, 0) + {PADDING} <= 32000")
 def fits_in_context(s, d):
     return checks.fitting(_questions(s, d).select("q_id", "position.end_pos"), "end_pos", PADDING, 32_000).select("q_id")
 
 
+@_q(f"""SELECT novel_id, min_end, max_end, testable, CASE WHEN n IS NULL THEN 'the novel has no tokens' WHEN 200000 > n THEN 'a context length exceeds the novel' WHEN min_end IS NULL THEN 'no question has a position' WHEN 32000 < min_end + {PADDING} THEN 'the shortest context length ends before the first question' WHEN testable = 0 THEN 'no question fits any context length' END AS error
+FROM (SELECT que.novel_id, min(position.end_pos) FILTER (position.end_pos > 0) AS min_end, max(position.end_pos) FILTER (position.end_pos > 0) AS max_end, count(*) FILTER (position.end_pos - position.start_pos + {2 * PADDING} < 200000) AS testable, max(total_tokens) AS n FROM que LEFT JOIN novels ON novels.novel_id = que.novel_id GROUP BY 1)""")
+def length_feasibility_by_novel(s, d):
+    q = _questions(s, d).select("novel_id", "position.start_pos", "position.end_pos").join(table(s, d, "novels").select("novel_id", "total_tokens"), "novel_id", "left")
+    return checks.length_report(q, LENGTHS, "total_tokens", PADDING, by="novel_id")
+
+
 @_q(f"""SELECT min(position.end_pos) FILTER (position.end_pos > 0) AS min_end, max(position.end_pos) FILTER (position.end_pos > 0) AS max_end, count(*) FILTER (position.end_pos - position.start_pos + {2 * PADDING} < 200000) AS testable,
 CASE WHEN min(position.end_pos) FILTER (position.end_pos > 0) + {PADDING} > 32000 THEN 'the shortest context length ends before the first question' END AS error FROM que""")
 def length_feasibility(s, d):
@@ -436,10 +450,9 @@ def evidence_slice_full(s, d):
     return docs.select("doc_id", tokens.decode(tokens.token_slice(F.col("tokens"), at, at + 2 * PADDING)).alias("part"))
 
 
-_BUILD = f"""j AS (SELECT a.assignment_id, a.target_depth AS dep, a.context_length AS len, q.position.start_pos AS qs, q.position.end_pos AS qe, n.total_tokens AS n FROM asg a JOIN que q ON a.q_id = q.q_id JOIN novels n ON q.novel_id = n.novel_id
- WHERE n.total_tokens IS NOT NULL AND a.context_length > 0),
+_BUILD = f"""j AS (SELECT a.assignment_id, a.target_depth AS dep, a.context_length AS len, q.position.start_pos AS qs, q.position.end_pos AS qe, n.total_tokens AS n FROM asg a JOIN que q ON a.q_id = q.q_id LEFT JOIN novels n ON q.novel_id = n.novel_id),
 k AS (SELECT *, least(greatest(0, qs - {PADDING}), n) AS s, least(n, qe + {PADDING}) AS e FROM j),
-l AS (SELECT *, greatest(e - s, 0) AS sz, CASE WHEN NOT coalesce(dep BETWEEN 0 AND 1, false) THEN 'invalid target depth' WHEN qs IS NULL OR qe IS NULL THEN 'position is missing' WHEN greatest(e - s, 0) >= len THEN 'evidence exceeds the context length' END AS err FROM k),
+l AS (SELECT *, greatest(e - s, 0) AS sz, CASE WHEN n IS NULL THEN 'the novel has no tokens' WHEN NOT coalesce(len > 0, false) THEN 'the context length is not positive' WHEN NOT coalesce(dep BETWEEN 0 AND 1, false) THEN 'invalid target depth' WHEN qs IS NULL OR qe IS NULL THEN 'position is missing' WHEN greatest(e - s, 0) >= len THEN 'evidence exceeds the context length' END AS err FROM k),
 m AS (SELECT *, CAST(trunc((len - sz) * dep) AS BIGINT) AS wp FROM l),
 o AS (SELECT *, least(wp, s) + least(greatest(wp - s, 0), n - e) AS pre, least(len - sz - wp, n - e) + least(greatest(len - sz - wp - (n - e), 0), s) AS suf FROM m)"""
 
@@ -447,7 +460,7 @@ o AS (SELECT *, least(wp, s) + least(greatest(wp - s, 0), n - e) AS pre, least(l
 @_q(f""", {_BUILD} SELECT assignment_id, err IS NULL AS success, err AS error_message, CASE WHEN err IS NULL THEN pre ELSE 0 END AS prefix_length, CASE WHEN err IS NULL THEN suf ELSE 0 END AS suffix_length, CASE WHEN err IS NULL THEN pre + sz + suf ELSE 0 END AS total_length, round(CASE WHEN err IS NULL AND pre + sz + suf > 0 THEN pre / (pre + sz + suf) ELSE 0 END, 9) AS actual_depth FROM o""")
 def context_build(s, d):
     q = _questions(s, d).select("q_id", "novel_id", "position.start_pos", "position.end_pos")
-    a = _once(s, d, "depth_assignments", "assignment_id").where("context_length > 0").join(q, "q_id").join(table(s, d, "novels").where("total_tokens is not null").select("novel_id", "total_tokens"), "novel_id")
+    a = _once(s, d, "depth_assignments", "assignment_id").join(q, "q_id").join(table(s, d, "novels").select("novel_id", "total_tokens"), "novel_id", "left")
     b = context.build_contexts(a, F.col("start_pos"), F.col("end_pos"), F.col("target_depth"), F.col("context_length"), None, F.col("total_tokens"), PADDING)
     return b.select("assignment_id", "built.success", "built.error_message", "built.prefix_length", "built.suffix_length", "built.total_length", _r("built.actual_depth").alias("actual_depth"))
 
@@ -468,10 +481,13 @@ def context_text(s, d):
     return b.select("assignment_id", "built.success", "built.total_length", "context")
 
 
-@_q("""SELECT q_id, array_to_string(list_transform(map_entries(choice), lambda e: concat(e.key, '. ', e.value)), chr(10)) AS lines, array_to_string(list_transform(list_sort(map_entries(choice)), lambda e: concat(upper(e.key), '. ', e.value)), chr(10)) AS sorted_lines FROM que WHERE choice IS NOT NULL AND len(list_filter(map_values(choice), lambda v: v IS NULL)) = 0""")
+_LINES = "array_to_string(list_transform(map_entries(choice), lambda e: concat(e.key, '. ', e.value)), chr(10))"
+_SORTED_LINES = "array_to_string(list_transform(list_sort(map_entries(choice)), lambda e: concat(upper(e.key), '. ', e.value)), chr(10))"
+
+
+@_q(f"SELECT q_id, {_LINES} AS lines, {_SORTED_LINES} AS sorted_lines FROM que")
 def choice_format(s, d):
-    ok = F.col("choice").isNotNull() & ~F.exists(F.map_values("choice"), lambda v: v.isNull())
-    return _questions(s, d).where(ok).select("q_id", text.choice_lines(F.col("choice")).alias("lines"), text.sorted_choice_lines(F.col("choice")).alias("sorted_lines"))
+    return _questions(s, d).select("q_id", text.choice_lines(F.col("choice")).alias("lines"), text.sorted_choice_lines(F.col("choice")).alias("sorted_lines"))
 
 
 @_q("SELECT q_id, CASE WHEN length(question) > 100 THEN concat(substr(question, 1, 97), '...') ELSE question END AS hover, CASE WHEN length(question) > 50 THEN concat(substr(question, 1, 50), '...') ELSE question END AS preview FROM que")
@@ -484,10 +500,9 @@ def result_key(s, d):
     return _results(s, d).select("result_id", text.result_key(F.col("q_id").cast("string"), F.col("depth_bin"), F.col("test_context_length")).alias("key"))
 
 
-@_q("SELECT q_id, concat('Question: ', coalesce(question, ''), chr(10), 'Choices:', chr(10), coalesce(array_to_string(list_transform(map_entries(choice), lambda e: concat(e.key, '. ', e.value)), chr(10)), ''), chr(10), 'Reply as {\"answer\": []}') AS prompt FROM que WHERE choice IS NULL OR len(list_filter(map_values(choice), lambda v: v IS NULL)) = 0")
+@_q(f"SELECT q_id, concat('Question: ', coalesce(question, ''), chr(10), 'Choices:', chr(10), coalesce({_LINES}, ''), chr(10), 'Reply as {{\"answer\": []}}') AS prompt FROM que")
 def prompt_render(s, d):
-    ok = F.coalesce(~F.exists(F.map_values("choice"), lambda v: v.isNull()), F.lit(True))
-    return _questions(s, d).where(ok).select("q_id", text.render('Question: {question}\nChoices:\n{choices}\nReply as {"answer": []}', question=F.col("question"), choices=text.choice_lines(F.col("choice"))).alias("prompt"))
+    return _questions(s, d).select("q_id", text.render('Question: {question}\nChoices:\n{choices}\nReply as {"answer": []}', question=F.col("question"), choices=text.choice_lines(F.col("choice"))).alias("prompt"))
 
 
 @_q("SELECT novel_id, CASE WHEN total_tokens >= 1000000 THEN printf('%.2fM', floor(total_tokens / 10000 + 0.5) / 100) WHEN total_tokens >= 1000 THEN printf('%.1fK', floor(total_tokens / 100 + 0.5) / 10) ELSE CAST(total_tokens AS VARCHAR) END AS tokens, replace(list_last(string_split(novel_path, '/')), '.txt', '') AS name, concat(total_tokens // 1000, 'K-', (total_tokens + 4000) // 1000, 'K') AS bin FROM novels WHERE total_tokens IS NOT NULL", raw=True)
@@ -501,14 +516,23 @@ def sentence_boundary(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", text.boundary_after(F.col("text"), F.lit(0)).alias("first_end"))
 
 
-@_q()
+# Objects in the stored replies are flat, so braces without others inside are all the objects there are.
+_REPLY = r"""rt AS (SELECT result_id, raw_answer, trim(raw_answer, chr(32) || chr(9) || chr(10) || chr(13)) AS t FROM res),
+rj AS (SELECT *, CASE WHEN t <> '' AND json_valid(t) THEN t::JSON END AS whole, list_filter(regexp_extract_all(raw_answer, '\{[^{}]*\}'), lambda x: json_valid(x)) AS objects FROM rt),
+rs AS (SELECT result_id, CASE WHEN coalesce(t, '') = '' THEN 'parsing_error' WHEN whole IS NOT NULL THEN CASE WHEN json_type(whole) = 'OBJECT' THEN 'success' ELSE 'error' END WHEN len(objects) > 0 THEN 'regex_extracted' ELSE 'parsing_error' END AS status,
+  CASE WHEN json_type(whole) = 'OBJECT' THEN whole WHEN whole IS NULL AND len(objects) > 0 THEN list_last(objects)::JSON END AS last_object,
+  CASE WHEN json_type(whole) = 'OBJECT' THEN whole WHEN len(objects) > 0 THEN objects[1]::JSON END AS first_object, raw_answer FROM rj),
+ra AS (SELECT *, CASE WHEN last_object IS NOT NULL THEN coalesce(json_extract_string(last_object, '$.answer[*]'), []) ELSE [] END AS got FROM rs)"""
+
+
+@_q(f", {_REPLY} SELECT result_id, status, array_to_string(got, ',') AS answers FROM ra")
 def parse_answer(s, d):
     return _results(s, d).select("result_id", replies.parse_answer("raw_answer").alias("r")).select("result_id", F.array_join("r.answer", ",").alias("answers"), "r.status")
 
 
-@_q()
+@_q(f", {_REPLY} SELECT result_id, CAST(json(first_object) AS VARCHAR) AS object FROM ra")
 def parse_object(s, d):
-    return _results(s, d).select("result_id", replies.parse_object("raw_answer").alias("object"))
+    return _results(s, d).select("result_id", F.get_json_object(replies.parse_object("raw_answer"), "$").alias("object"))
 
 
 @_q()
@@ -523,7 +547,9 @@ def aligned_window(s, d):
     return w.select("doc_id", "w.start", "w.end", tokens.decode("w.tokens").alias("text"))
 
 
-@_q()
+@_q(f""", {_REPLY}, rr AS (SELECT ra.result_id, got, coalesce(res.correct_answer, []) AS ca, res.question_type, CASE WHEN ra.raw_answer IS NULL THEN 'timeout' ELSE status END AS st FROM ra JOIN res USING (result_id) JOIN que ON res.q_id = que.q_id),
+rn AS (SELECT *, len(list_intersect(ca, got)) AS b, len(list_distinct(ca)) AS nc, len(list_distinct(got)) AS ng FROM rr)
+SELECT result_id, st AS parsing_status, array_to_string(got, ',') AS answers, round(CASE WHEN st IN ('error', 'timeout') THEN 0.0 WHEN question_type = 'single_choice' THEN CASE WHEN ca = got THEN 1.0 ELSE 0.0 END WHEN question_type = 'multiple_choice' AND b > 0 THEN 2 * ((b / ng) * (b / nc)) / ((b / ng) + (b / nc)) ELSE 0.0 END::DOUBLE, 9) AS score FROM rn""")
 def offline_test_pipeline(s, d):
     """Answers the stored replies give when the whole test is run over them again."""
     from lectern.plans.pipelines import replay
@@ -531,6 +557,83 @@ def offline_test_pipeline(s, d):
     return replay(_results(s, d), _questions(s, d))
 
 
+@_q()
+def evidence_match(s, d):
+    """Whether the stored evidence is found in its context, and how similar the best stretch is where it reaches 0.8."""
+    v = _once(s, d, "validations", "validation_id").select("validation_id", "context_id", "evidence")
+    c = _once(s, d, "contexts", "context_id").select("context_id", "context")
+    both = v.where("context_id is not null").join(c, "context_id", "left").unionByName(v.where("context_id is null").withColumn("context", F.lit(None).cast("string")))
+    return evidence.match_evidence(both, "evidence", "context", 0.8, 0.8).select("validation_id", "evidence_found", "evidence_similarity")
+
+
+_END = r"[.!?][ \t\n\x0B\f\r]"
+
+
+@_q(rf"""SELECT doc_id, place, CAST(CASE WHEN regexp_matches(tail, '{_END}') THEN place + length(regexp_extract(tail, '^(?s:(.*?)){_END}', 1)) + 2 ELSE place END AS INTEGER) AS sentence_after, CAST(CASE WHEN contains(tail, chr(10) || chr(10)) THEN place + position(chr(10) || chr(10) IN tail) + 1 ELSE place END AS INTEGER) AS paragraph_after,
+CAST(CASE WHEN regexp_matches(head, '{_END}') THEN length(head) - length(list_last(string_split_regex(head, '{_END}'))) ELSE place END AS INTEGER) AS sentence_before, CAST(CASE WHEN contains(head, chr(10) || chr(10)) THEN length(head) - length(list_last(string_split(head, chr(10) || chr(10)))) ELSE place END AS INTEGER) AS paragraph_before
+FROM (SELECT doc_id, CAST(length(text) // 3 AS INTEGER) AS place, substr(text, 1, length(text) // 3) AS head, substr(text, length(text) // 3 + 1) AS tail FROM documents WHERE text IS NOT NULL)""", raw=True)
+def text_boundaries(s, d):
+    """Sentence and paragraph ends before and after a place a third into each text."""
+    t, at = F.col("text"), F.col("place")
+    docs = table(s, d, "documents").where("text is not null").select("doc_id", "text", F.floor(F.length("text") / 3).cast("int").alias("place"))
+    p = text.PARAGRAPH_END
+    return docs.select("doc_id", "place", text.boundary_after(t, at).alias("sentence_after"), text.boundary_after(t, at, p).alias("paragraph_after"), text.boundary_before(t, at).alias("sentence_before"), text.boundary_before(t, at, p).alias("paragraph_before"))
+
+
+@_q("SELECT result_id, coalesce(len(ma) > 0 AND len(list_filter(ma, lambda a: NOT coalesce(list_contains(map_keys(choice), a), false))) = 0, false) AS valid FROM sc JOIN que ON sc.q_id = que.q_id")
+def valid_answer(s, d):
+    keys = F.map_keys("choice")
+    return _results(s, d).select("result_id", "q_id", "model_answer").join(_questions(s, d).select("q_id", "choice"), "q_id").select("result_id", A.valid_answer(F.col("model_answer"), keys).alias("valid"))
+
+
+@_q(f"SELECT question_type, errors, error_rate, {', '.join(c.split(' AS ')[-1] for c in _COUNTS.replace(chr(10), ' ').split(', ') if ' AS ' in c)} FROM (SELECT question_type, count(*) FILTER (category <> 'correct') AS errors, round(avg(CASE WHEN category <> 'correct' THEN 1.0 ELSE 0.0 END), 9) AS error_rate, {_COUNTS} FROM scored GROUP BY 1)")
+def report_by_type(s, d):
+    """The sections of a report for each type of question."""
+    r = _results(s, d)
+    rate = metrics.error_rate(r, "question_type").drop("total").withColumnRenamed("question_type", "type_")
+    m = metrics.all_metrics(r, "question_type")
+    return _rounded(m.join(rate, m["question_type"].eqNullSafe(rate["type_"])).drop("type_"))
+
+
+@_q("""SELECT result_id, question_type, category, array_to_string(ca, ', ') AS correct, array_to_string(ma, ', ') AS answered, CASE WHEN length(question) > 100 THEN concat(substr(question, 1, 97), '...') ELSE question END AS hover FROM (SELECT scored.*, que.question FROM scored JOIN que ON scored.q_id = que.q_id) WHERE category IN ('incorrect', 'partially_correct', 'parsing_error')""")
+def error_cases(s, d):
+    q = _questions(s, d).select("q_id", "question")
+    bad = metrics.scored(_results(s, d)).where(F.col("category").isin("incorrect", "partially_correct", "parsing_error")).join(q, "q_id")
+    join = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ", ")
+    return bad.select("result_id", "question_type", "category", join("correct_answer").alias("correct"), join("model_answer").alias("answered"), text.hover(F.col("question")).alias("hover"))
+
+
+@_q("""SELECT p.result_id, p.start_pos, round(report_score, 9) AS report_score, CASE WHEN p.parsing_status = 'parsing_error' THEN 'gray' WHEN report_score = 1 THEN 'green' WHEN report_score > 0 THEN 'yellow' ELSE 'red' END AS color FROM placed p JOIN scored USING (result_id)""")
+def scatter_points(s, d):
+    """What the plot of a report shows of each result."""
+    x = metrics.scored(_placed(s, d))
+    return x.select("result_id", "start_pos", _r("report_score").alias("report_score"), A.color(F.col("report_score"), F.col("parsing_status")).alias("color"))
+
+
+@_q(f", {_COV}, {_GRID} SELECT 'coverage' AS part, CAST(bin AS BIGINT) AS x, NULL AS y, round(coverage, 6) AS value FROM cov UNION ALL SELECT 'depth', test_context_length, depth_bin, round(coalesce(accuracy, -0.05), 6) FROM grid UNION ALL SELECT 'mean', test_context_length, NULL, round(avg(accuracy), 6) FROM grid GROUP BY test_context_length")
+def combined_depth_cells(s, d):
+    """All cells of the combined page: coverage along the text, depth by length, means by length."""
+    cov = bins.coverage_bins(_questions(s, d).select("position.start_pos", "position.end_pos"), LENGTH, BINS)
+    grid = bins.depth_grid(_results(s, d))
+    cell = lambda df, part, x, y, v: df.select(F.lit(part).alias("part"), F.col(x).cast("bigint").alias("x"), (F.col(y) if y else F.lit(None).cast("string")).alias("y"), F.round(v, 6).alias("value"))
+    return cell(cov, "coverage", "bin", None, F.col("coverage")).unionByName(cell(grid, "depth", "test_context_length", "depth_bin", F.coalesce("accuracy", F.lit(-0.05)))).unionByName(cell(bins.column_averages(grid), "mean", "test_context_length", None, F.col("accuracy")))
+
+
+@_q("""SELECT set_id, coalesce(CASE WHEN set_id % 7 = 0 THEN 64000 END, nullif(sets.total_tokens, 0), nullif(novels.total_tokens, 0)) AS context_length FROM sets LEFT JOIN novels ON sets.novel_id = novels.novel_id""")
+def context_length_choice(s, d):
+    """The context length of each set: one given for every seventh, else the set's tokens, else the novel's."""
+    n = table(s, d, "novels").select("novel_id", F.col("total_tokens").alias("novel_tokens"))
+    j = _once(s, d, "question_sets", "set_id").join(n, "novel_id", "left")
+    return j.select("set_id", bins.length_choice(F.when(F.col("set_id") % 7 == 0, 64_000), F.col("total_tokens"), F.col("novel_tokens")).alias("context_length"))
+
+
+@_q("""SELECT novel_id, CASE WHEN total_tokens >= 1000000 THEN printf('%.2fM', floor(total_tokens / 10000 + 0.5) / 100) WHEN total_tokens >= 1000 THEN printf('%.1fK', floor(total_tokens / 100 + 0.5) / 10) ELSE CAST(total_tokens AS VARCHAR) END AS tokens, coalesce(max(level) FILTER (level <= total_tokens), 0) AS longest_level, count(level) FILTER (level <= total_tokens) AS levels, CAST(coalesce(sum(questions), 0) AS BIGINT) AS questions
+FROM (SELECT novel_id, total_tokens, level, CASE WHEN level > total_tokens THEN 0 ELSE greatest(5, ((level - range_start) // 10000) * 5) END AS questions FROM novels, (SELECT level, coalesce(lag(level) OVER (ORDER BY level), 0) AS range_start FROM (SELECT unnest([2000, 4000, 8000, 16000, 32000, 64000, 128000, 192000, 256000, 512000, 1000000, 2000000]) AS level)) WHERE total_tokens IS NOT NULL) GROUP BY novel_id, total_tokens""", raw=True)
+def novel_analysis(s, d):
+    """How long each novel is and what can be asked about it."""
+    return sequence.novel_analysis(s, table(s, d, "novels"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
