@@ -22,34 +22,39 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_head(spark: SparkSession, path: str, lines: int = 100) -> DataFrame:
     """(path, text): the first lines of each file with their line ends."""
-    part = F.slice(F.split("text", "(?<=\n)"), 1, lines)
-    return read_text(spark, path).select("path", F.array_join(part, "").alias("text"))
+    return read_text(spark, path).select("path", F.substring_index("text", "\n", lines).alias("head"), "text").select("path", F.when(F.length("head") < F.length("text"), F.concat("head", F.lit("\n"))).otherwise(F.col("text")).alias("text"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"))
+    """(value, file, at, line): every line with its file, the start of the block it was read in, and an order within the block."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value, metadata): the first line of each file that is an object with an object ``metadata``, and that as JSON.
+    Files without one do not appear. Only the first line of a file's first block can be a header."""
+    first = _lines(spark, path).where("at = 0").groupBy("file").agg(F.min(F.struct("line", "value")).alias("f")).select("file", "f.line", "f.value")
+    meta = F.get_json_object("value", "$.metadata")
+    return first.where(F.coalesce(F.get_json_object("value", "$").startswith("{") & meta.startswith("{"), F.lit(False))).withColumn("metadata", meta)
 
 
 def read_metadata(spark: SparkSession, path: str) -> dict:
-    """The header of a file as a dictionary; empty without one."""
-    first = _lines(spark, path).where("at = 0").limit(1).collect()
+    """The header of a file as a dictionary, or of the first file by name that has one; empty without one."""
+    first = read_headers(spark, path).orderBy("file").select("value").first()
     try:
-        head = json.loads(first[0]["value"]) if first else None
+        return json.loads(first["value"])["metadata"] if first else {}
     except ValueError:
-        head = None
-    return head["metadata"] if isinstance(head, dict) and isinstance(head.get("metadata"), dict) else {}
+        return {}
 
 
 def read_rows(spark: SparkSession, path: str, schema: T.StructType = QUESTION, strict: bool = True) -> tuple[dict, DataFrame]:
-    """(metadata, rows): rows typed by ``schema`` with their raw text in ``raw``. Blank lines are skipped. With ``strict`` a
-    line that is no JSON fails the read; else such a line comes out with null fields."""
-    meta = read_metadata(spark, path)
-    rows = _lines(spark, path).where(~F.col("value").rlike(r"^\s*$"))
-    if meta:
-        first = _lines(spark, path).where("at = 0").limit(1).collect()[0]["value"]
-        rows = rows.where(F.col("value") != first)
+    """(metadata, rows): rows typed by ``schema`` with their raw text in ``raw``. The header of each file is left out, and no line
+    that only equals one. Blank lines are skipped. With ``strict`` a line that is no JSON fails the read; else such a line
+    comes out with null fields."""
+    heads = read_headers(spark, path).select("file", "line")
+    rows = _lines(spark, path).where(~F.col("value").rlike(r"^\s*$")).join(heads, ["file", "line"], "left_anti")
     options = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
-    return meta, rows.select(F.from_json("value", schema, options).alias("r"), F.col("value").alias("raw")).select("r.*", "raw")
+    return read_metadata(spark, path), rows.select(F.from_json("value", schema, options).alias("r"), F.col("value").alias("raw")).select("r.*", "raw")
 
 
 def _tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:

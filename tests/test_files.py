@@ -52,3 +52,17 @@ def test_text(spark, tmp_path):
     (tmp_path / "n.txt").write_text("a\nb\n\nc", encoding="utf-8")
     assert files.read_head(spark, str(tmp_path / "n.txt"), 2).first()["text"] == "a\nb\n"
     assert files.read_text(spark, str(tmp_path / "n.txt")).first()["text"] == "a\nb\n\nc"
+
+
+def test_a_header_for_each_file_of_a_folder(spark, tmp_path):
+    """A folder with several headers, a file without one, and a row that equals another file's header."""
+    head = lambda k: json.dumps({"metadata": {"run": k}})
+    row = lambda k: json.dumps({"question": f"q{k}"})
+    lines(tmp_path / "a.jsonl", [head(1), row(1), head(2), *(row(k) for k in range(100, 400))])
+    lines(tmp_path / "b.jsonl", [head(2), row(2)])
+    lines(tmp_path / "c.jsonl", [row(3), head(1), "", "null"])
+    heads = {r["file"].rsplit("/", 1)[1]: json.loads(r["metadata"]) for r in files.read_headers(spark, str(tmp_path)).collect()}
+    assert heads == {"a.jsonl": {"run": 1}, "b.jsonl": {"run": 2}}
+    meta, rows = files.read_rows(spark, str(tmp_path), QUESTION, strict=False)
+    raw = [r["raw"] for r in rows.collect()]
+    assert meta == {"run": 1} and sorted(raw) == sorted([row(1), head(2), row(2), row(3), head(1), "null", *(row(k) for k in range(100, 400))])
