@@ -81,6 +81,29 @@ class CallProvider:
         return cut(rows.withColumn("prompt_", prompt).repartition(self.tasks).mapInPandas(run, schema))
 
 
+def chat_call(config) -> Callable[[str], str | None]:
+    """A call of a chat-completions endpoint by a :class:`lectern.plans.config.ModelConfig`. Too many requests, faults of the server,
+    time-outs and lost connections are Retryable; other faults are not."""
+
+    def call(prompt: str) -> str | None:
+        import json
+        from urllib import error, request
+
+        body = {"model": config.model, "messages": [{"role": "user", "content": prompt}], "temperature": config.temperature, "top_p": config.top_p, "max_tokens": config.max_tokens}
+        req = request.Request(f"{config.base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {config.api_key}"})
+        try:
+            with request.urlopen(req, timeout=config.timeout) as r:
+                return json.loads(r.read())["choices"][0]["message"].get("content")
+        except error.HTTPError as e:
+            if e.code == 429 or e.code >= 500:
+                raise Retryable(f"status {e.code}") from e
+            raise
+        except (error.URLError, TimeoutError, ConnectionError) as e:
+            raise Retryable(str(e)) from e
+
+    return call
+
+
 def with_thinking(content: Column, thinking: Column, keep: bool) -> Column:
     """The reply with the model's reasoning before it, when that is kept."""
     wrapped = F.concat(F.lit("<thinking>"), thinking, F.lit("</thinking>\n"), content)
@@ -94,3 +117,14 @@ def probe(call: Callable[[str], str | None], count: Callable[[str], int], prompt
     took = max(time.time() - start, 1e-9)
     n = count(reply or "")
     return {"ok": reply is not None, "seconds": took, "tokens": n, "tokens_per_second": n / took}
+
+
+def probe_all(configs: dict[str, object], make: Callable = chat_call, count: Callable[[str], int] = lambda t: len(t.split())) -> list[dict]:
+    """One request for each named configuration, in order of name; one that fails is reported and the others still run."""
+    out = []
+    for name in sorted(configs):
+        try:
+            out.append({"name": name, **probe(make(configs[name]), count), "error": None})
+        except Exception as e:  # whatever a call raises is its result
+            out.append({"name": name, "ok": False, "seconds": None, "tokens": 0, "tokens_per_second": None, "error": str(e)})
+    return out
