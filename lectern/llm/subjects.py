@@ -121,15 +121,20 @@ def _nearest(e: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _sums(cuts: np.ndarray, index: np.ndarray, value: np.ndarray | None, m: np.ndarray) -> np.ndarray:
-    """For each stretch of ``index`` the sum of the rows of ``m`` it names, times ``value``."""
-    out = np.zeros((len(cuts) - 1, m.shape[1]), np.float32)
-    for a in range(0, len(cuts) - 1, 2048):
-        b = min(len(cuts) - 1, a + 2048)
+    """For each stretch of ``index`` the sum of the rows of ``m`` it names, times ``value``. Columns are summed one by one, as
+    their places lie side by side then."""
+    out, columns = np.zeros((len(cuts) - 1, m.shape[1]), np.float32), np.ascontiguousarray(m.T)
+    for a in range(0, len(cuts) - 1, 8192):
+        b = min(len(cuts) - 1, a + 8192)
         lo, hi = cuts[a], cuts[b]
         full = cuts[a + 1 : b + 1] > cuts[a:b]
         if hi > lo:
-            rows = m[index[lo:hi]]
-            out[a:b][full] = np.add.reduceat(rows if value is None else rows * value[lo:hi, None], (cuts[a:b] - lo)[full], axis=0)
+            at, starts, own = index[lo:hi], (cuts[a:b] - lo)[full], None if value is None else value[lo:hi]
+            part = np.empty((m.shape[1], len(starts)), np.float32)
+            for k, column in enumerate(columns):
+                x = column[at]
+                np.add.reduceat(x if own is None else x * own, starts, out=part[k])
+            out[a:b][full] = part.T
     return out
 
 
