@@ -13,29 +13,64 @@ def structure_error(question: Column, kind: Column, choice: Column, answer: Colu
     blank = question.isNull() | question.rlike(r"(?U)^\s*\z")
     start, end = position["start_pos"], position["end_pos"]
     return (
-        F.when(blank, "question must be a non-empty string")
-        .when(kind.isNull(), "question_type must be a string")
-        .when(choice.isNull(), "choice must be a map")
-        .when(F.size(choice) < 2, "choice must contain at least 2 options")
-        .when(F.exists(F.map_values(choice), lambda v: v.isNull()), "choice options must be strings")
-        .when(answer.isNull(), "answer must be a list")
-        .when(F.size(answer) == 0, "answer must contain at least one answer")
-        .when(position.isNull(), "position must be a structure")
-        .when(start.isNull() | end.isNull(), "position must contain start_pos and end_pos")
-        .when(start < 0, "start_pos must be non-negative")
-        .when(end < start, "end_pos must be >= start_pos")
+        F.when(blank, "the question is blank")
+        .when(kind.isNull(), "the question has no type")
+        .when(choice.isNull(), "the question has no choices")
+        .when(F.size(choice) < 2, "there are fewer than two choices")
+        .when(F.exists(F.map_values(choice), lambda v: v.isNull()), "a choice has no text")
+        .when(answer.isNull(), "the question has no answer list")
+        .when(F.size(answer) == 0, "the answer list is empty")
+        .when(position.isNull(), "the question has no position")
+        .when(start.isNull() | end.isNull(), "an end of the position is missing")
+        .when(start < 0, "the position starts before the text")
+        .when(end < start, "the position ends before it starts")
+    )
+
+
+def raw_structure_error(raw: Column) -> Column:
+    """The first structural fault of a question that is still JSON text, or null. Wrongly typed fields are told apart from missing
+    ones, which a typed column cannot do. Whole numbers are positions, and so are true and false (1 and 0)."""
+    v = F.try_parse_json(raw)
+    part = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    kind = lambda name: F.coalesce(F.schema_of_variant(part(name)), F.lit("VOID"))
+    is_a = lambda c, *kinds: F.exists(F.array(*map(F.lit, kinds)), lambda k: c.startswith(k))
+    text = F.try_variant_get(v, "$.question", "string")
+    choices = F.try_variant_get(v, "$.choice", "map<string,variant>")
+    answers = F.try_variant_get(v, "$.answer", "array<variant>")
+    whole = lambda name: is_a(kind(name), "BIGINT", "BOOLEAN")
+    start, end = (F.coalesce(F.try_variant_get(v, f"$.position.{c}", "bigint"), F.try_variant_get(v, f"$.position.{c}", "boolean").cast("bigint")) for c in ("start_pos", "end_pos"))
+    missing = F.lit(None).cast("string")
+    for name in ("position", "answer", "choice", "question_type", "question"):
+        missing = F.when(part(name).isNull(), f"the field {name} is missing").otherwise(missing)
+    return (
+        F.when(v.isNull(), "the question is no JSON")
+        .when(~is_a(F.schema_of_variant(v), "OBJECT"), "the question is no object")
+        .when(missing.isNotNull(), missing)
+        .when(kind("question") != "STRING", "the question is no text")
+        .when(text.rlike(r"(?U)^\s*\z"), "the question is blank")
+        .when(kind("question_type") != "STRING", "the type is no text")
+        .when(~is_a(kind("choice"), "OBJECT"), "the choices are no object")
+        .when(F.size(choices) < 2, "there are fewer than two choices")
+        .when(F.exists(F.map_values(choices), lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")) != "STRING"), "a choice is no text")
+        .when(~is_a(kind("answer"), "ARRAY"), "the answers are no list")
+        .when(F.size(answers) == 0, "the answer list is empty")
+        .when(~is_a(kind("position"), "OBJECT"), "the position is no object")
+        .when(part("position.start_pos").isNull() | part("position.end_pos").isNull(), "an end of the position is missing")
+        .when(~whole("position.start_pos") | ~whole("position.end_pos"), "an end of the position is no whole number")
+        .when(start < 0, "the position starts before the text")
+        .when(end < start, "the position ends before it starts")
     )
 
 
 def content_error(kind: Column, choice: Column, answer: Column) -> Column:
     """Unknown type, or fewer than two wrong options in a question with several answers; else null."""
-    return F.when(~F.coalesce(kind.isin(*QUESTION_TYPES), F.lit(False)), "unknown question_type").when((kind == "multiple_choice") & (F.size(choice) - F.size(answer) < 2), "fewer than 2 distractors")
+    return F.when(~F.coalesce(kind.isin(*QUESTION_TYPES), F.lit(False)), "the type is not known").when((kind == "multiple_choice") & (F.size(choice) - F.size(answer) < 2), "there are fewer than two wrong choices")
 
 
 def answer_error(choice: Column, answer: Column) -> Column:
     """An answer that is no key of choice; else null."""
     keys = F.coalesce(F.map_keys(choice), F.array().cast("array<string>"))
-    return F.when(F.exists(F.coalesce(answer, F.array().cast("array<string>")), lambda a: a.isNull()), "answers must be strings").when(F.size(F.array_except(F.coalesce(answer, F.array().cast("array<string>")), keys)) > 0, "answer is not a choice")
+    return F.when(F.exists(F.coalesce(answer, F.array().cast("array<string>")), lambda a: a.isNull()), "an answer has no text").when(F.size(F.array_except(F.coalesce(answer, F.array().cast("array<string>")), keys)) > 0, "answer is not a choice")
 
 
 def question_error(question: Column, kind: Column, choice: Column, answer: Column, position: Column) -> Column:

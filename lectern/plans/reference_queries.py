@@ -315,11 +315,11 @@ def random_question_type(s, d):
     return _questions(s, d).select("q_id", sampling.random_choice(F.col("q_id"), ("single_choice", "multiple_choice")).alias("question_type"))
 
 
-_STRUCT = r"""CASE WHEN question IS NULL OR regexp_full_match(question, '[\s\x{00A0}\x{3000}\x{2000}-\x{200A}\x{202F}\x{205F}]*') THEN 'question must be a non-empty string' WHEN question_type IS NULL THEN 'question_type must be a string' WHEN choice IS NULL THEN 'choice must be a map'
-WHEN cardinality(choice) < 2 THEN 'choice must contain at least 2 options' WHEN len(list_filter(map_values(choice), lambda v: v IS NULL)) > 0 THEN 'choice options must be strings' WHEN answer IS NULL THEN 'answer must be a list' WHEN len(answer) = 0 THEN 'answer must contain at least one answer'
-WHEN position IS NULL THEN 'position must be a structure' WHEN position.start_pos IS NULL OR position.end_pos IS NULL THEN 'position must contain start_pos and end_pos' WHEN position.start_pos < 0 THEN 'start_pos must be non-negative' WHEN position.end_pos < position.start_pos THEN 'end_pos must be >= start_pos' END"""
-_CONTENT = "CASE WHEN coalesce(question_type, '') NOT IN ('single_choice', 'multiple_choice', 'negative_question') THEN 'unknown question_type' WHEN question_type = 'multiple_choice' AND cardinality(choice) - len(answer) < 2 THEN 'fewer than 2 distractors' END"
-_ANSWER = "CASE WHEN len(list_filter(coalesce(answer, []), lambda a: a IS NULL)) > 0 THEN 'answers must be strings' WHEN len(list_filter(coalesce(answer, []), lambda a: NOT coalesce(list_contains(map_keys(choice), a), false))) > 0 THEN 'answer is not a choice' END"
+_STRUCT = r"""CASE WHEN question IS NULL OR regexp_full_match(question, '[\s\x{00A0}\x{3000}\x{2000}-\x{200A}\x{202F}\x{205F}]*') THEN 'the question is blank' WHEN question_type IS NULL THEN 'the question has no type' WHEN choice IS NULL THEN 'the question has no choices'
+WHEN cardinality(choice) < 2 THEN 'there are fewer than two choices' WHEN len(list_filter(map_values(choice), lambda v: v IS NULL)) > 0 THEN 'a choice has no text' WHEN answer IS NULL THEN 'the question has no answer list' WHEN len(answer) = 0 THEN 'the answer list is empty'
+WHEN position IS NULL THEN 'the question has no position' WHEN position.start_pos IS NULL OR position.end_pos IS NULL THEN 'an end of the position is missing' WHEN position.start_pos < 0 THEN 'the position starts before the text' WHEN position.end_pos < position.start_pos THEN 'the position ends before it starts' END"""
+_CONTENT = "CASE WHEN coalesce(question_type, '') NOT IN ('single_choice', 'multiple_choice', 'negative_question') THEN 'the type is not known' WHEN question_type = 'multiple_choice' AND cardinality(choice) - len(answer) < 2 THEN 'there are fewer than two wrong choices' END"
+_ANSWER = "CASE WHEN len(list_filter(coalesce(answer, []), lambda a: a IS NULL)) > 0 THEN 'an answer has no text' WHEN len(list_filter(coalesce(answer, []), lambda a: NOT coalesce(list_contains(map_keys(choice), a), false))) > 0 THEN 'answer is not a choice' END"
 _COLS = ("question", "question_type", "choice", "answer", "position")
 
 

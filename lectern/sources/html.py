@@ -50,8 +50,42 @@ def scatter(cells: list[dict], trend: list[dict], top: float) -> str:
     return f"<svg width='900' height='200'>{dots}<polyline points='{line}' fill='none' stroke='#1565c0'/></svg>"
 
 
+def type_section(m: dict, rate, sample: list[dict]) -> list[str]:
+    """What a report says of one type of question: its share of each category, the figures that count for it, its sampled errors."""
+    kind, n = m["question_type"], m["total"]
+    parts = [(c, m[c] / n if n else 0.0) for c in ("correct", "partially_correct", "incorrect", "parsing_error")]
+    figures = {"questions": n, "errors": rate["errors"], "error rate": rate["error_rate"], "mean score": m["mean_score"]}
+    if kind == "single_choice":
+        figures["accuracy"] = m["single_accuracy"]
+    if kind == "multiple_choice":
+        figures |= {k: m[f"multi_{k}"] for k in ("precision", "recall", "f1_score")}
+    colors = ("green", "yellow", "red", "gray")
+    x, bars = 0.0, ""
+    for (name, share), color in zip(parts, colors):
+        bars += f"<rect x='{900 * x:.1f}' y='0' width='{900 * share:.1f}' height='18' fill='{_COLORS[color]}'><title>{name}: {100 * share:.1f} %</title></rect>"
+        x += share
+    own = [{k: v for k, v in r.items() if k != "question_type"} for r in sample if r["question_type"] == kind]
+    return [f"<h3>{html.escape(kind or 'without a type')}</h3>", table([figures]), f"<svg width='900' height='18'>{bars}</svg>", *([table(own)] if own else [])]
+
+
+def combined(cells: list[dict], height: int = 160) -> str:
+    """Coverage as bars and accuracy as points joined where neighbouring bins have any, over the same bins."""
+    w = 900 / max(1, len(cells))
+    bars = "".join(f"<rect x='{k * w:.2f}' y='{height * (1 - c['coverage']):.1f}' width='{max(1.0, w - 1):.2f}' height='{height * c['coverage']:.1f}' fill='#90caf9'><title>{html.escape(c['label'])}: coverage {c['coverage']:.2f}</title></rect>" for k, c in enumerate(cells))
+    runs, run = [], []
+    for k, c in enumerate([*cells, {"accuracy": None}]):
+        if c["accuracy"] is None:
+            runs, run = ([*runs, run] if run else runs), []
+        else:
+            run.append((k * w + w / 2, height * (1 - c["accuracy"])))
+    lines = "".join(f"<polyline points='{' '.join(f'{x:.1f},{y:.1f}' for x, y in r)}' fill='none' stroke='#c62828'/>" for r in runs)
+    dots = "".join(f"<circle cx='{k * w + w / 2:.1f}' cy='{height * (1 - c['accuracy']):.1f}' r='3' fill='#c62828'><title>{html.escape(c['label'])}: accuracy {c['accuracy']:.2f} of {c['question_count']}</title></circle>" for k, c in enumerate(cells) if c["accuracy"] is not None)
+    return f"<svg width='900' height='{height}'>{bars}{lines}{dots}</svg>"
+
+
 def report(results: DataFrame, path: str, metadata: dict | None = None, errors: int = 10, across: int = 440, seed: int = 0) -> None:
-    """A page with the metrics, the scores by position with their trend, and a random sample of errors. ``results`` has
+    """A page with the metrics, the scores by position with their trend, a section for each type of question, and a random sample of
+    errors. ``results`` has
     result_id, question, start_pos and the columns of a result. A run without rows is an error; the plot shows
     all rows with a position, counted in cells of ``across`` stretches of position, score and color, and the mean trend of each
     stretch."""
@@ -69,12 +103,15 @@ def report(results: DataFrame, path: str, metadata: dict | None = None, errors:
     dots = [r.asDict() for r in every.groupBy(stretch, F.round("report_score", 2).alias("score"), "color").agg(place, F.count("*").alias("n"), F.min("hover").alias("hover")).orderBy("stretch").collect()]
     line = [r.asDict() for r in every.groupBy(stretch).agg(place, F.avg("trend").alias("trend")).orderBy("stretch").collect()]
     bad = metrics.scored(results).where(F.col("category").isin("incorrect", "partially_correct", "parsing_error"))
-    sample = [r.asDict() for r in sampling.first_by_hash(bad.select("result_id", hover(F.col("question")).alias("question"), "category", F.array_join("correct_answer", ", ").alias("correct"), F.array_join("model_answer", ", ").alias("answered")), "result_id", errors, seed).collect()]
+    sample = [r.asDict() for r in sampling.first_by_hash(bad.select("result_id", hover(F.col("question")).alias("question"), "category", F.array_join("correct_answer", ", ").alias("correct"), F.array_join("model_answer", ", ").alias("answered"), "question_type"), "result_id", errors, seed).collect()]
     from lectern.sources.files import redacted
 
     info = [{"key": k, "value": v} for k, v in redacted(metadata or {}).items()]
     rate = metrics.error_rate(results).first()
-    body = page("Report", "<h2>Run</h2>", table(info), "<h2>Metrics</h2>", table([m]), "<h2>Scores by position</h2>", f"<p>{sum(d['n'] for d in dots)} of {m['total']} results have a position and are shown.</p>", scatter(dots, line, top or 1), f"<h2>Errors ({rate['errors']} of {rate['total']}, {100 * rate['error_rate']:.1f} %)</h2>", table(sample))
+    types = [r.asDict() for r in metrics.all_metrics(results, "question_type").orderBy("question_type").collect()]
+    wrong = {r["question_type"]: r for r in metrics.error_rate(results, "question_type").collect()}
+    sections = [part for t in types for part in type_section(t, wrong[t["question_type"]], sample)]
+    body = page("Report", "<h2>Run</h2>", table(info), "<h2>Metrics</h2>", table([m]), "<h2>Scores by position</h2>", f"<p>{sum(d['n'] for d in dots)} of {m['total']} results have a position and are shown.</p>", scatter(dots, line, top or 1), "<h2>Question types</h2>", *sections, f"<h2>Errors ({rate['errors']} of {rate['total']}, {100 * rate['error_rate']:.1f} %)</h2>", table(sample))
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(body, encoding="utf-8")
 
@@ -87,6 +124,9 @@ def heatmap(mode: str, path: str, questions: DataFrame | None = None, results: D
     if mode in ("coverage", "combined", "combined_depth"):
         rows = bins.coverage_bins(questions, length, n_bins).orderBy("bin").collect()
         parts += ["<h2>Coverage</h2>", strip([(f"{r['start_pos'] // 1000}K-{r['end_pos'] // 1000}K: {r['coverage']:.2f}", r["coverage"]) for r in rows])]
+    if mode == "combined":
+        both = bins.coverage_bins(questions, length, n_bins).join(bins.accuracy_bins(results, length, n_bins).select("bin", "accuracy", "question_count"), "bin").orderBy("bin").collect()
+        parts += ["<h2>Coverage and accuracy</h2>", combined([r.asDict() | {"label": f"{r['start_pos'] // 1000}K-{r['end_pos'] // 1000}K"} for r in both])]
     if mode in ("accuracy", "combined"):
         cells = bins.accuracy_bins(results, length, n_bins)
         rows = cells.orderBy("bin").collect()

@@ -58,17 +58,17 @@ Q = "question string, question_type string, choice map<string,string>, answer ar
     "row, part",
     [
         (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], (0, 0)), None),
-        ((" 　", "single_choice", {"a": "x", "b": "y"}, ["a"], (0, 1)), "question must"),
-        (("q", None, {"a": "x", "b": "y"}, ["a"], (0, 1)), "question_type must"),
-        (("q", "single_choice", {"a": "x"}, ["a"], (0, 1)), "at least 2"),
-        (("q", "single_choice", {"a": "x", "b": None}, ["a"], (0, 1)), "options must"),
-        (("q", "single_choice", {"a": "x", "b": "y"}, [], (0, 1)), "at least one"),
-        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], None), "position must be"),
-        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], (None, 1)), "position must contain"),
-        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], (-1, 1)), "non-negative"),
-        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], (2, 1)), ">="),
-        (("q", "essay", {"a": "x", "b": "y"}, ["a"], (0, 1)), "unknown"),
-        (("q", "multiple_choice", {"a": "x", "b": "y", "c": "z"}, ["a", "b"], (0, 1)), "distractors"),
+        ((" 　", "single_choice", {"a": "x", "b": "y"}, ["a"], (0, 1)), "is blank"),
+        (("q", None, {"a": "x", "b": "y"}, ["a"], (0, 1)), "no type"),
+        (("q", "single_choice", {"a": "x"}, ["a"], (0, 1)), "fewer than two choices"),
+        (("q", "single_choice", {"a": "x", "b": None}, ["a"], (0, 1)), "a choice has no text"),
+        (("q", "single_choice", {"a": "x", "b": "y"}, [], (0, 1)), "list is empty"),
+        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], None), "no position"),
+        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], (None, 1)), "end of the position is missing"),
+        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], (-1, 1)), "starts before"),
+        (("q", "single_choice", {"a": "x", "b": "y"}, ["a"], (2, 1)), "ends before"),
+        (("q", "essay", {"a": "x", "b": "y"}, ["a"], (0, 1)), "not known"),
+        (("q", "multiple_choice", {"a": "x", "b": "y", "c": "z"}, ["a", "b"], (0, 1)), "two wrong choices"),
         (("q", "single_choice", {"a": "x", "b": "y"}, ["c"], (0, 1)), "not a choice"),
     ],
 )
@@ -178,3 +178,23 @@ def test_best_ratio_with_and_without_a_floor():
         near += want >= 0.8
         assert evidence.best_similarity(e, c) == want and evidence.best_similarity(e, c, 0.8) == (want if want >= 0.8 else None)
     assert 20 < near < 130
+
+
+RAW = [
+    ('{"question": "q", "question_type": "single_choice", "choice": {"a": "x", "b": "y"}, "answer": ["a"], "position": {"start_pos": 0, "end_pos": 3}}', None), ("{", "no JSON"), (None, "no JSON"), ("[1]", "no object"), ("{}", "question is missing"),
+    ({"question": 5}, "no text"), ({"question": " \u3000"}, "blank"), ({"question": None}, "no text"), ({"question_type": 1}, "type is no text"), ({"choice": ["a", "b"]}, "choices are no object"), ({"choice": {"a": "x"}}, "fewer than two"),
+    ({"choice": {"a": "x", "b": 1}}, "a choice is no text"), ({"choice": {"a": "x", "b": None}}, "a choice is no text"), ({"answer": "a"}, "no list"), ({"answer": []}, "empty"), ({"answer": [1]}, None), ({"position": [1, 2]}, "position is no object"),
+    ({"position": {"start_pos": 1}}, "end of the position is missing"), ({"position": {"start_pos": "1", "end_pos": 2}}, "whole number"), ({"position": {"start_pos": 1.5, "end_pos": 2}}, "whole number"), ({"position": {"start_pos": False, "end_pos": True}}, None),
+    ({"position": {"start_pos": -1, "end_pos": 2}}, "starts before"), ({"position": {"start_pos": 3, "end_pos": 2}}, "ends before"), ({"position": {"start_pos": 2, "end_pos": 2}}, None),
+]
+
+
+def test_wrongly_typed_questions(spark):
+    good = json.loads(RAW[0][0])
+    rows = [(k, json.dumps({**good, **r}) if isinstance(r, dict) else r) for k, (r, _) in enumerate(RAW)]
+    got = {r["k"]: r["e"] for r in spark.createDataFrame(rows, "k int, raw string").select("k", rules.raw_structure_error(F.col("raw")).alias("e")).collect()}
+    for k, (r, said) in enumerate(RAW):
+        assert got[k] is None if said is None else got[k] and said in got[k], (r, got[k])
+    for name in good:
+        left = json.dumps({k: v for k, v in good.items() if k != name})
+        assert spark.range(1).select(rules.raw_structure_error(F.lit(left))).first()[0] == f"the field {name} is missing"
