@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from lectern.plans.session import cut
 from lectern.schema import QUESTION
 
+#: Places of headers that are sent to all executors; those of more files are joined by a shuffle.
+SENT_HEADERS = 100_000
 _SECRET = re.compile(r"api.?key|secret|password|authorization|access.?token|credential", re.IGNORECASE)
 
 
@@ -52,7 +54,7 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType = QUESTION, s
     that only equals one. Blank lines are skipped. With ``strict`` a line that is no JSON fails the read; else such a line
     comes out with null fields."""
     heads = read_headers(spark, path).select("file", "line")
-    rows = _lines(spark, path).where(~F.col("value").rlike(r"^\s*$")).join(heads, ["file", "line"], "left_anti")
+    rows = _lines(spark, path).where(~F.col("value").rlike(r"^\s*$")).join(F.broadcast(heads) if heads.count() <= SENT_HEADERS else heads, ["file", "line"], "left_anti")
     options = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
     return read_metadata(spark, path), rows.select(F.from_json("value", schema, options).alias("r"), F.col("value").alias("raw")).select("r.*", "raw")
 
