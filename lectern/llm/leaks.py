@@ -30,11 +30,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import HAN
 from lectern.llm import one_form
-from lectern.llm.one_form import shape
+from lectern.llm.one_form import TAG, shape
 
 _WORDS = re.compile(f"[{HAN}]|[^\\W_{HAN}]+")
 _SPELLED = re.compile(f"[^\\W_{HAN}]")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _SPLIT_WORD = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 
 MIN_WORDS, PHRASE = 24, 6
@@ -55,7 +54,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if "<" in text:
-        text = _TAG.sub("", text.replace("<br", " <br").replace("<p", " <p").replace("</p", " </p"))
+        text = TAG.sub("", text.replace("<br", " <br").replace("<p", " <p").replace("</p", " </p"))
     if "&" in text:
         text = html.unescape(text)
     if "-\n" in text or "-\r" in text:
@@ -64,7 +63,7 @@ def words(text: str | None) -> list[str]:
 
 
 _ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
-_BLOCK_TAG = re.compile(r"<(?=br|p|/p)")
+_BLOCK = re.compile(r"<(?=br|p|/p)")
 _ASCII_RUNS = re.compile(r"[\x00-\x7f]+|[^\x00-\x7f]+")
 _CLUSTER = regex.compile(r"\X")
 
@@ -103,8 +102,8 @@ def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
     t = _Traced(text)
     spans = lambda pattern: [m.span() for m in pattern.finditer(t.text)]
     if "<" in text:
-        t.replace(spans(_BLOCK_TAG), lambda x: " " + x)
-        t.replace(spans(_TAG), lambda x: "")
+        t.replace(spans(_BLOCK), lambda x: " " + x)
+        t.replace(spans(TAG), lambda x: "")
     if "&" in text:
         t.replace(spans(_ENTITY), html.unescape)
     if "-\n" in text or "-\r" in text:

@@ -52,6 +52,8 @@ for _c, _s in SHAPE.items():
         READINGS[_s] = READINGS.get(_s, _s) + _c
 
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
+#: Markup, for those who fold texts.
+TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _BLANKS = re.compile(r"\s+")
 _FOREIGN = re.compile(r"[ɐ-ʯͰ-֏Ꭰ-᏿ᴀ-ᵿⲀ-⳿ꓐ-꓿꜠-ꟿ]")
 _ONLY_SHARED = re.compile(f"[{''.join(READINGS)}̀-ͯ]+")

@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import HAN
-from lectern.llm.one_form import shape
+from lectern.llm.one_form import TAG, shape
 from lectern.plans.session import cut
 
 _TOKENS = re.compile(f"[{HAN}]+|[^\\W\\d_{HAN}]+|[.!?。¶]")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _ENDS = frozenset(".!?。¶")
 
 #: Labelled documents that the model is fitted on, and sentences of them, at most.
@@ -76,7 +75,7 @@ def sentence_terms(text: str | None, ids: _Ids) -> list[int]:
     if not text:
         return []
     if "<" in text:
-        text = _TAG.sub("", text)
+        text = TAG.sub("", text)
     toks = [ids[w] for w in _TOKENS.findall(shape(text.replace("\n", "¶")).lower())]
     if any(type(x) is list for x in toks):
         toks = [y for x in toks for y in (x if type(x) is list else (x,))]
